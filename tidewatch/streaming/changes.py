@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,36 @@ def events(spark: SparkSession, folder: str, schema) -> DataFrame:
 def daily_totals(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Count and sum per day and kind; closed days leave the state after ``late``."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+class StateTable:
+    """Latest row per key as versioned Parquet folders; a batch that is run again writes the same version again.
+
+    One stream writes.  ``place`` lies in storage that all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, place: str, schema: str) -> None:
+        self.spark, self.place, self.schema = spark, place.rstrip("/"), schema
+
+    def version(self, batch: int) -> DataFrame:
+        """State after a batch; before the first one it is empty."""
+        if batch < 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.place}/state/{batch}")
+
+    def apply(self, batch: DataFrame, number: int, key: str, digest: str, order: list[str]) -> None:
+        """Classify the rows of a batch against the state and within the batch, then write changes and the next state."""
+        w = Window.partitionBy(key).orderBy(*order)
+        rows = batch.join(self.version(number - 1).select(key, F.col(digest).alias("_old")), key, "left")
+        before = F.coalesce(F.lag(digest).over(w), F.col("_old"))
+        state = F.when(before.isNull(), "NEW").when(before == F.col(digest), "UNCHANGED").otherwise("UPDATED")
+        rows.select(*batch.columns, state.alias("state")).write.mode("overwrite").parquet(f"{self.place}/changes/{number}")
+        newest = batch.groupBy(key).agg(F.max_by(digest, F.struct(*order)).alias(digest))
+        kept = self.version(number - 1).join(newest, key, "left_anti").unionByName(newest)
+        kept.write.mode("overwrite").parquet(f"{self.place}/state/{number}")
+
+    def follow(self, stream: DataFrame, key: str, digest: str, order: list[str]) -> DataFrame:
+        """Run a stream through to its present end and return all changes."""
+        run = stream.writeStream.foreachBatch(lambda b, n: self.apply(b, n, key, digest, order))
+        run.option("checkpointLocation", f"{self.place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return self.spark.read.parquet(f"{self.place}/changes/*")
