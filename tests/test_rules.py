@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicons, values
-from tidewatch.operators import evidence, rules
+from tidewatch.operators import evidence, notices, rules
 from tidewatch.plans import decisions
 from tidewatch.sources import pages
 from tidewatch.streaming import changes
@@ -137,3 +137,12 @@ def test_state_table_over_batches_and_replay(spark, tmp_path):
     got = sorted((r["k"], r["s"], r["state"]) for r in spark.read.parquet(f"{tmp_path}/changes/*").collect())
     assert got == [(1, 1, "NEW"), (1, 2, "UNCHANGED"), (1, 3, "UPDATED"), (1, 4, "UNCHANGED"), (2, 1, "NEW"), (2, 5, "UPDATED"), (3, 6, "NEW")]
     assert sorted(tuple(r) for r in state.version(1).collect()) == [(1, "b"), (2, "y"), (3, "n")]
+
+
+def test_titles(spark):
+    want = ["A_heritage_service", "pure_execution", "C_architectural_competition", "D_major_architecture", "unrelated_scope", "supply_purchase", "ordinary_facility_or_infrastructure", "unrelated_topography", "incomplete_scope_requires_detail", "A_heritage_service", "arabic_scope_requires_detail", "no_relevant_title_context", "incomplete_scope_requires_detail"]
+    rows = [*decisions.NOTICES, (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, p string, c string")
+    got = [r[0] for r in df.orderBy("i").select(notices.select_title(F.col("t"), F.col("p"), F.col("c"))).collect()]
+    assert [r["reason"] for r in got] == [*want, "incomplete_scope_requires_detail"]
+    assert {(r["decision"], r["priority"]) for r in got} == {("continue", 1), ("continue", 2), ("continue", 3), ("continue", 4), ("reject", 9)}

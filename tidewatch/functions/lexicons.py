@@ -68,3 +68,23 @@ EVIDENCE_KEYWORDS = ["architecture", "patrimoine", "urban", "réhabilitation", "
 
 # French month names, folded.
 MONTHS = ["janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre"]
+
+# Title selection: French equivalents of Arabic terms, in the order they are added.
+TITLE_EQUIVALENTS = [
+    ("دراسة", "etude"), ("دراسات", "etudes"), ("تقنية", "technique"), ("تتبع", "suivi"), ("اشراف", "suivi"),
+    ("معمارية", "architecturale"), ("معماري", "architectural"), ("تصميم", "conception"), ("ترميم", "restauration"),
+    ("الهندسة المعمارية", "architecture"), ("تثمين", "valorisation"), ("تاهيل", "rehabilitation"),
+    ("المدينة العتيقة", "ancienne medina"), ("التراث", "patrimoine"), ("الاسوار", "remparts"), ("القصبة", "kasbah"),
+    ("لقصر", "ksar"), ("القصر", "ksar"), ("القصور", "ksour"), ("متحف", "musee"), ("مدرسة", "ecole"), ("مدارس", "ecoles"),
+    ("ثانوية", "lycee"), ("اشغال", "travaux"), ("التطهير", "assainissement"), ("الطرق", "voirie"),
+]
+TITLE_SERVICE = ["etude", "etudes", "suivi", "diagnostic", "expertise", "conception", "maitrise d oeuvre", "charte", "plan d amenagement", "sauvegarde", "controle", "assistance"]
+TITLE_CONTEST = ["concours", "consultation architectur", "consultations architectur", "مسابقة"]
+TITLE_HERITAGE = ["patrimoine", "patrimonial", "ancienne medina", "medina", "rempart", "muraille", "monument historique", "kasbah", "ksar", "fortification", "historique", "القصور", "القصر", "لقصر"]
+TITLE_HERITAGE_PROOF = ["patrimonial", "restauration", "rempart", "monument historique", "sauvegarde"]
+TITLE_MAJOR = ["musee", "campus", "universit", "hospital", "hopital", "centre culturel", "complexe culturel", "grand complexe", "siege", "corniche"]
+TITLE_UNRELATED = ["informatique", "logiciel", "sauvegarde des donnees", "fournitures", "gardiennage", "nettoyage", "restauration collective", "repas", "patrimoine foncier", "conservation des eaux", "conservation des sols", "معلوماتي", "لوازم", "حراسة"]
+TITLE_ORDINARY = ["ecole", "lycee", "scolaire", "ofppt", "logement de fonction", "logements de fonction", "logements du personnel", "logement du personnel", "assainissement", "voirie", "route ", "routes "]
+TITLE_UNIVERSITY = ["universit", "campus", "ecole superieure", "enseignement superieur"]
+TITLE_MOSQUE = ["mosquee", "mosquees", "مسجد"]
+TITLE_PRIORITY = {"A_heritage_service": 1, "C_architectural_competition": 2, "D_major_architecture": 3, "incomplete_scope_requires_detail": 4, "arabic_scope_requires_detail": 4}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text, urls, values
-from ..operators import evidence, rules
+from ..operators import evidence, notices, rules
 from ..sources import pages
 from ..streaming import changes
 from .catalog import _CANON, AS_OF, FOLD, ORACLE, QUERIES, query
@@ -57,6 +57,37 @@ def q_institution_class(t):
     return s.groupBy("s.relevant", "s.activity", "s.role", "s.obsolete").agg(F.count("*").alias("n"))
 
 
+#: Notices (title, procedure, category) that the orders are taken to carry in turn.
+NOTICES = [
+    ("Étude de restauration des remparts de la médina", "", "services"), ("Travaux de construction d'une mosquée à Fès", "", "travaux"),
+    ("Concours architectural pour un théâtre régional", "concours", "services"), ("Études techniques et suivi du musée national", "", "services"),
+    ("Achat de matériel informatique pour la commune", "", "fournitures"), ("Achat de tables et de chaises diverses", "", "fournitures"),
+    ("Étude de construction d'une école à Rabat", "", "services"), ("Levés topographiques de la zone industrielle", "", "services"),
+    ("Consultation PMMP", "", ""), ("دراسة ترميم الأسوار التاريخية للمدينة", "", ""), ("بناء مركز للشباب بالجماعة القروية", "", ""),
+    ("Location de salles pour un séminaire annuel", "", "services"), ("Aménagement de la kasbah historique et de ses abords…", "", "travaux"),
+]
+_LATIN = "trim(regexp_replace(translate(strip_accents(replace(lower({0}), 'œ', 'oe')), 'أإآىـ', 'اااي'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+_VALUES = ", ".join("(%d, %s)" % (i, ", ".join("'" + x.replace("'", "''") + "'" for x in row)) for i, row in enumerate(NOTICES))
+_ADDED = " || ".join(f"CASE WHEN contains(b, '{a}') AND NOT contains(' ' || b || ' ', ' {x} ') THEN ' {x}' ELSE '' END" for a, x in L.TITLE_EQUIVALENTS)
+_PLAIN = [(n, _any(t, False)) for n, t in (("hd", L.TITLE_HERITAGE), ("proof", L.TITLE_HERITAGE_PROOF), ("mj", L.TITLE_MAJOR), ("un", L.TITLE_UNRELATED), ("un2", L.TITLE_UNIVERSITY), ("mq", L.TITLE_MOSQUE), ("ord", L.TITLE_ORDINARY))]
+_STEP = "(" + " OR ".join(f"contains(f || s, '{x}')" for x in L.TITLE_CONTEST) + ")"
+_REASON = _case([("unrelated_scope", "un"), ("supply_purchase", "k = 'fournitures' AND NOT sv AND NOT ct"), ("ordinary_facility_or_infrastructure", "(ord OR contains(' ' || f || ' ', ' ista ')) AND NOT (hd AND proof) AND NOT un2 AND NOT (cut AND mq)"), ("unrelated_topography", "contains(f, 'topograph') AND NOT hd AND NOT mj AND NOT ct"), ("pure_execution", "(contains(f, 'travaux') OR k = 'travaux') AND NOT sv AND NOT ct AND NOT (cut AND hd AND NOT starts_with(f, 'travaux'))"), ("A_heritage_service", "hd AND sv"), ("C_architectural_competition", "ct"), ("D_major_architecture", "mj AND sv"), ("incomplete_scope_requires_detail", "f IN ('', 'consultation pmmp', 'details', 'detail') OR length(b) < 20 OR (cut AND (hd OR sv OR mj))"), ("arabic_scope_requires_detail", "arabic")], "'no_relevant_title_context'")
+
+_PRIORITY = "CASE " + " ".join(f"WHEN reason = '{n}' THEN {p}" for n, p in L.TITLE_PRIORITY.items()) + " ELSE 9 END"
+
+
+@query(f"""WITH n(i, title, step, kind) AS (VALUES {_VALUES}), a AS (SELECT i, {_LATIN.format("title")} AS b, {_LATIN.format("step")} AS s, {_LATIN.format("kind")} AS k, regexp_matches(title, '(\\.\\.\\.|…)\\s*$') AS cut, regexp_matches(title, '[؀-ۿ]') AS arabic FROM n),
+t AS (SELECT *, b || {_ADDED} AS f FROM a), h AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in _PLAIN)}, {_any(L.TITLE_SERVICE)} AS sv, (contains(f || s, 'architectur') AND {_STEP}) OR contains(f, 'concours de conception') AS ct FROM t),
+r AS (SELECT i, {_REASON} AS reason FROM h)
+SELECT reason, {_PRIORITY} AS priority, count(*) AS n FROM orders JOIN r ON i = o_orderkey % {len(NOTICES)} GROUP BY 1, 2""")
+def q_title_selector(t):
+    """Notices selected by their titles alone."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("title", "procedure", "category"), row, strict=True)]) for row in NOTICES])
+    n = t("orders").select(F.get(rows, (F.col("o_orderkey") % len(NOTICES)).cast("int")).alias("n"))
+    s = n.select(notices.select_title(F.col("n.title"), F.col("n.procedure"), F.col("n.category")).alias("s"))
+    return s.groupBy("s.reason", "s.priority").agg(F.count("*").alias("n"))
+
+
 DOMAINS = {"legal": ["license", "copyright", "apache"], "german": ["und", "der"], "french": ["les", "des"]}
 _FOUND = "list_filter([" + ", ".join(f"CASE WHEN {_any(t)} THEN '{n}' END" for n, t in DOMAINS.items()) + "], lambda x: x IS NOT NULL)"
 
