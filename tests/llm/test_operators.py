@@ -97,6 +97,32 @@ def test_redact(spark):
     assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "é [EMAIL], [PHONE]!", 19), (2, None, 5)]
 
 
+def test_disguises_reach_the_transducer(spark):
+    """Every row's spans are those of find(), whatever the rows beside it hold: the byte filter passes all disguises."""
+    from pyspark.sql import functions as F
+
+    texts = ["write bob at site.org", "Bob At mail.site.org, today", "a@b dot com", "x at y dot org", "call plus one 988 five 55 two 485 six", "plus one, 2. three 44-five 5 now 6 7 8 9", "one 2 three 4 five 6 seven 8", "plus one fıve two 3344 nine 77", "bob at ſite.org", "me (at) x [dot] org", "no one at home.", "ot dot com", None, "", "ends d", "ot at site.org", "ends at", "at site.org", "plus 4 one two three 5566"]
+    texts += [c + " at " + d for c in ("a", "é", "9") for d in ("b.c", "b.ç", "b dot com", "b.com dot org", "-.-")]
+    texts += [f"{kind} plus{sep}one{sep}two{sep}{n}{sep}three 12345678" for kind in ("", "x") for sep in (" ", "-", ". ", ", ") for n in ("7", "four", "44")]
+    want = {i: [tuple(s) for s in pii.find(t or "")] for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    marked, f = pii.find_pii(df, keep=["doc_id"])
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in marked.select("doc_id", F.col(f)["spans"].alias("spans")).collect()} == want
+    assert ("email", 6, 21, False) in want[0] and any(k == "phone" and not base for k, _, _, base in want[4])
+    assert pii.redact(df.filter("doc_id = 0")).first()["text"] == "write [EMAIL]"
+
+
+def test_trigger_is_wider_than_the_transducer():
+    """Without mapped characters, a text that plain() changes is triggered; mapped characters are, by their first byte."""
+    import itertools
+
+    assert all(pii._LEADS[c.encode()[0]] for c in [*pii.HOMOGLYPHS, *pii.INVISIBLE] if ord(c) > 127)
+    words = ["bob", "at", "dot", "site.org", "one", "two", "5", "plus", "nine,", "(at)", "six-7"]
+    for some in itertools.product(words, repeat=4):
+        t = " ".join(some)
+        assert pii.plain(t).text == t or pii._TRIGGER.search(t.encode())
+
+
 def test_pieces(docs):
     from sentencepiece import SentencePieceProcessor
 

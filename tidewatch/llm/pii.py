@@ -188,7 +188,10 @@ _SIGNS[[ord("@"), ord("+")]] = True
 _SIGNS[48:58] = True
 _LEADS = np.zeros(256, bool)  # first bytes of the characters that the transducer maps, Latin letters aside
 _LEADS[[0xC2, 0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD9, 0xDB, 0xE0, 0xE2, 0xE3, 0xEF, 0xF0]] = True
-_TRIGGER = re.compile(rb"(?<![a-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)[ ,.-]{1,2}(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![a-z])|[(\[{<] ?(?:at|dot) ?[)\]}>]| dot ")
+# all that plain() rewrites in a text without mapped characters: of three spelled digits in a row the second stands between
+# separators, before a spelled digit (its first letter may be a long s) or a numeral; what follows a sign is only looked at,
+# so a match never takes bytes that another one needs
+_TRIGGER = re.compile(rb"(?<=[ ,.-])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?=[ ,.-]{1,2}[0-9efnostz\x80-\xff])|[(\[{<] ?(?:at|dot) ?[)\]}>]| dot(?= )| at(?= [a-z0-9\x80-\xff-]+\.[a-z0-9\x80-\xff-])")
 
 
 def _rows(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
