@@ -223,13 +223,23 @@ def q_health_rollup(t):
 _SNAP = "SELECT user_id, arg_max(event_type || ':' || value, (ts, event_id)) AS digest FROM events {} GROUP BY 1"
 
 
+def _classes(old: DataFrame, new: DataFrame) -> DataFrame:
+    snap = lambda e: e.groupBy("user_id").agg(F.max_by(F.concat_ws(":", "event_type", F.col("value").cast("string")), F.struct("ts", "event_id")).alias("digest"))
+    return keyed.classify(snap(old), snap(new), "user_id", "digest").groupBy("state").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH o AS ({_SNAP.format("WHERE ts < TIMESTAMP '2024-01-20'")}), n AS ({_SNAP.format("WHERE user_id % 7 <> 0")})
 SELECT CASE WHEN o.user_id IS NULL THEN 'NEW' WHEN n.user_id IS NULL THEN 'MISSING' WHEN o.digest = n.digest THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM o FULL JOIN n USING (user_id) GROUP BY 1""")
 def q_cdc_classify(t):
-    """Change classes between an earlier snapshot of the entities and a later one."""
-    snap = lambda e: e.groupBy("user_id").agg(F.max_by(F.concat_ws(":", "event_type", F.col("value").cast("string")), F.struct("ts", "event_id")).alias("digest"))
-    old, new = snap(t("events").filter("ts < TIMESTAMP_NTZ '2024-01-20'")), snap(t("events").filter("user_id % 7 <> 0"))
-    return keyed.classify(old, new, "user_id", "digest").groupBy("state").agg(F.count("*").alias("n"))
+    """Change classes between an earlier snapshot of the entities and a later one without every seventh entity, as in the SQL."""
+    return _classes(t("events").filter("ts < TIMESTAMP_NTZ '2024-01-20'"), t("events").filter("user_id % 7 <> 0"))
+
+
+@query(f"""WITH o AS ({_SNAP.format("WHERE ts < TIMESTAMP '2024-01-29'")}), n AS ({_SNAP.format("WHERE ts >= TIMESTAMP '2024-01-29'")})
+SELECT CASE WHEN o.user_id IS NULL THEN 'NEW' WHEN n.user_id IS NULL THEN 'MISSING' WHEN o.digest = n.digest THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM o FULL JOIN n USING (user_id) GROUP BY 1""")
+def q_cdc_classify_whole(t):
+    """Change classes of all entities: the earlier snapshot is what was seen before a date, the later one what was seen from it on."""
+    return _classes(t("events").filter("ts < TIMESTAMP_NTZ '2024-01-29'"), t("events").filter("ts >= TIMESTAMP_NTZ '2024-01-29'"))
 
 
 @query("""WITH o AS (SELECT user_id, max(value) AS value, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id, CASE WHEN max(value) > 40 THEN max(value) END AS value, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1)

@@ -128,9 +128,15 @@ def q_feedback_score(t):
     return evidence.feedback_score(features, evidence.feedback_profile(judged), "doc_id")
 
 
+_HALF = " WHERE user_id % 2 = 0 OR event_type = 'error'"
 _SOURCE = "CASE event_type WHEN 'view' THEN 'GOVERNANCE' WHEN 'click' THEN 'APPOINTMENT' WHEN 'error' THEN 'PROFESSIONAL' ELSE 'OFFICIAL_RELEASE' END"
 
 
+def _role_holders(events: DataFrame) -> DataFrame:
+    e = events.select("user_id", F.expr("concat('p', event_id % 3)").alias("person"), F.expr(_SOURCE).alias("source"), F.expr("CASE WHEN event_id % 10 > 0 THEN to_date(ts) END").alias("dated"), (F.col("value") > 60).alias("departed"))
+    return evidence.role_holder(e, ["user_id"], F.lit("2024-01-25").cast("date"))
+
+
 @query(f"""WITH e AS (SELECT user_id, 'p' || (event_id % 3) AS person, {_SOURCE} AS source, CASE WHEN event_id % 10 > 0 THEN ts::DATE END AS dated, value > 60 AS departed FROM events WHERE user_id % 2 = 0 OR event_type = 'error'),
 r AS (SELECT *, (source = 'PROFESSIONAL')::INT AS u, CASE source WHEN 'GOVERNANCE' THEN 1 WHEN 'APPOINTMENT' THEN 3 WHEN 'OFFICIAL_RELEASE' THEN 4 ELSE 6 END AS k FROM e WHERE dated IS NULL OR dated <= DATE '2024-01-25'),
 b AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY u, dated DESC NULLS LAST, k) AS place FROM r),
@@ -138,8 +144,13 @@ f AS (SELECT user_id, min(person) AS low, max(person) AS high, bool_or(departed)
 s AS (SELECT *, CASE WHEN gone OR date_diff('day', dated, DATE '2024-01-25') > 180 THEN 'OBSOLETE' WHEN low <> high THEN 'UNVERIFIED' WHEN u = 1 OR dated IS NULL THEN 'PROBABLY_CURRENT' ELSE 'VERIFIED_CURRENT' END AS status FROM f)
 SELECT user_id, CASE WHEN status <> 'UNVERIFIED' THEN low END AS person, status FROM s""")
 def q_role_resolution(t):
-    e = t("events").filter("user_id % 2 = 0 OR event_type = 'error'").select("user_id", F.expr("concat('p', event_id % 3)").alias("person"), F.expr(_SOURCE).alias("source"), F.expr("CASE WHEN event_id % 10 > 0 THEN to_date(ts) END").alias("dated"), (F.col("value") > 60).alias("departed"))
-    return evidence.role_holder(e, ["user_id"], F.lit("2024-01-25").cast("date"))
+    """Only even users have all their evidence here, as in the SQL; ``q_role_resolution_whole`` drops nothing."""
+    return _role_holders(t("events").filter("user_id % 2 = 0 OR event_type = 'error'"))
+
+
+@query(ORACLE["q_role_resolution"].replace(_HALF, ""))
+def q_role_resolution_whole(t):
+    return _role_holders(t("events"))
 
 
 @query()
