@@ -202,6 +202,45 @@ def test_language_model(spark, docs):
     assert lm.query(empty(docs)).count() == 0
 
 
+def test_language_model_tells_order_inside_a_class(spark, monkeypatch):
+    """Pair weights are those of the plain formula, for frequent and rare tokens, and sum to one over a class."""
+    import numpy as np
+
+    rows = [(i, t) for i, t in enumerate(["a b c d", "a b d c", "c d a b", "a b a b", "b a q r", ""] * 6) if zlib.crc32(str(i).encode()) % 7 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy in (1 << 19, 3):
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        model, counts, weights, held = lm.train(df)
+        c, pairs = Counter(), Counter()
+        for _, t in rows:
+            ws = [*t.split(), " "]
+            c.update(ws)
+            pairs.update(zip(["", *ws], ws))  # noqa: B905
+        names = sorted(c)
+        h, first = lm.tokens(np.frombuffer(" ".join(w for w in names if w != " ").encode(), np.uint8), np.array([0, sum(len(w) + 1 for w in names if w != " ") - 1]))
+        word = dict(zip([w for w in names if w != " "] + [" "], h, strict=True))
+        klass = {w: int(model.look_up(np.array([x]))[0][0]) for w, x in word.items()}
+        w_of, b_of = {r["pair"]: r["w"] for r in weights.collect()}, {r["held"]: r["b"] for r in held.collect()}
+        assert len(w_of) == len(pairs)
+        for u in ["", *names]:
+            if u == " ":
+                continue
+            sums = Counter()
+            for t in names:
+                hh = np.array([word[u], word[t]] if u else [word[t]], np.uint64)
+                key, cls, _, _ = lm.pair_keys(model, hh, np.array([0, len(hh)]))
+                in_class = sum(n for (a, b), n in pairs.items() if a == u and klass[b] == klass[t])
+                share = (c[t] + 1) / 10 ** model.log_mass[klass[t]]
+                got = share * 10 ** w_of.get(int(key[-1]), b_of.get(int(cls[-1]), 0.0))
+                assert math.isclose(got, (pairs[u, t] + lm.PRIOR * share) / (in_class + lm.PRIOR), rel_tol=1e-9)
+                sums[klass[t]] += got
+            for k, x in sums.items():
+                assert x <= 1 + 1e-9 and (k >= lm.CLASSES - lm.TAIL - 1 and k < lm.CLASSES - 1 or math.isclose(x, 1, rel_tol=1e-9))
+        two = spark.createDataFrame([(1, "a b a b c d"), (2, "b d a c b a")], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in lm.score(two, model, counts, weights, held).collect()}
+        assert math.isclose(got[1]["base_score"], got[2]["base_score"]) and got[1]["score"] > got[2]["score"]
+
+
 def test_url_filters(spark):
     events = spark.createDataFrame([("l", "bad.com", "add", 5, "a"), ("l", "bad.com", "remove", 9, None), ("p", "ok.org/x", "add", 1, "b"), ("l", None, "add", 1, "c")], "list string, key string, action string, at int, category string")
     caps = spark.createDataFrame([(1, "http://www.Bad.com:80/", 5), (2, "http://bad.com", 9), (3, "https://ok.org/x/y?z", 3), (4, "https://ok.org/xy", 3), (5, None, 3), (6, "http://bad.com", None), (6, "http://bad.com", None)], "id int, url string, fetched_at int")

@@ -4,8 +4,14 @@ P(token | history) = P(class | history) * P(token | class).  The class softmax
 has hashed features of the history: the previous word, the two previous words,
 and two skips (the second and the third word back).  Frequent tokens fall into
 classes of about equal mass, all others into hashed tail classes.  Inside a
-class a token has its add-one share; an unknown token has the share of one
-unseen token of its tail class.
+class a token has its add-one share, times a weight for each counted pair of
+previous word and token; an unknown token has the share of one unseen token of
+its tail class.
+
+The pair weights are those of a log-linear model whose normaliser is known:
+with n(u, t) pairs of previous word u and token t of class c, and n(u, c) of
+them over the class, P(t | u, c) = (n(u, t) + PRIOR share(t)) / (n(u, c) +
+PRIOR), which sums to one over the class.
 
 Training: all counts come from all training texts.  The class weights start at
 the class prior and take ``ROUNDS`` distributed gradient steps; every training
@@ -43,13 +49,14 @@ BUCKETS = 1 << 15
 ROUNDS = 4
 STEP = 1.5
 FEATURES = 4
+PRIOR = 8.0
 SLICE = 8 << 20
 _END = np.uint64(0x5AFE_C0DE_0000_0001)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _RUN = 1 << 15  # tokens whose class scores are held at once
 _BLOCK = 512  # buckets of a block of the table
 
-PART = StructType([StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("counts", DoubleType()), StructField("rest", DoubleType()), StructField("tail", ArrayType(StructType([StructField("token", LongType()), StructField("n", IntegerType())])))])
+PART = StructType([StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("counts", DoubleType()), StructField("rest", DoubleType()), StructField("tail", ArrayType(StructType([StructField("token", LongType()), StructField("n", IntegerType())]))), StructField("pairs", ArrayType(StructType([StructField("pair", LongType()), StructField("held", LongType()), StructField("n", IntegerType())])))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -191,8 +198,8 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
     return table_
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """Model and the table of token counts from all texts of ``docs`` that are not held out."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """Model, the table of token counts, and the pair weights from all texts of ``docs`` that are not held out."""
     learn = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     counts = table(token_counts(learn))
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -212,7 +219,42 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     turn = F.coalesce(F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7), F.lit(ROUNDS)), F.lit(0))
     for r in range(ROUNDS):
         model.table = step(learn.filter(turn == r), model)
-    return model, counts
+    return model, counts, *pair_weights(learn, counts, model)
+
+
+def pair_keys(m: Model, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of (previous word, token) and (previous word, class), class, and frequent count (else -1) of each token."""
+    klass, count = m.look_up(h)
+    back = np.zeros(len(h), np.uint64)
+    back[1:] = h[:-1]
+    back[first[:-1]] = 0
+    back = _text.mix(back * _SALTS[0] + _SALTS[1])
+    of = lambda x: _text.mix(back ^ x).view(np.int64)
+    return of(h * _SALTS[2]), of((klass.astype(np.uint64) + np.uint64(1)) * _SALTS[3]), klass, count
+
+
+def pair_weights(learn: DataFrame, counts: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """Log10 factors on the share of a token: (pair, w) where the pair was counted, (held, b) where only its class was."""
+    shipped = learn.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _text.slices(b, "text", SLICE):
+                m = shipped.value
+                h, first = tokens(*_text.flat(part.column(0)))
+                pair, held, klass, count = pair_keys(m, h, first)
+                pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+                known = count[at] >= 0
+                mass = 10 ** m.log_mass[klass[at]]
+                rare = pa.array(h[at].view(np.int64), mask=known)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(held[at]), rare, pa.array(np.where(known, mass / (count[at] + 1.0), mass)), pa.array(n.astype(np.int64))], names=["pair", "held", "rare", "mass", "n"])
+
+    met = learn.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, held long, rare long, mass double, n long")
+    pairs = table(met.groupBy("pair").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("held", "rare", "mass")]))
+    held = table(pairs.groupBy("held").agg((-F.log10(1 + F.sum("n") / PRIOR)).alias("b")))
+    tail = pairs.filter("rare IS NOT NULL").join(counts.filter("NOT heavy").select(F.col("token").alias("rare"), F.col("n").alias("c")), "rare").withColumn("mass", F.col("mass") / (F.col("c") + 1))
+    every = pairs.filter("rare IS NULL").select("pair", "held", "n", "mass").unionByName(tail.select("pair", "held", "n", "mass"))
+    return every.join(held, "held").select("pair", (F.log10(1 + F.col("n") * F.col("mass") / PRIOR) + F.col("b")).alias("w")), held
 
 
 def score_slice(m: Model, data: np.ndarray, offs: np.ndarray) -> dict:
@@ -235,11 +277,17 @@ def score_slice(m: Model, data: np.ndarray, offs: np.ndarray) -> dict:
     head = np.flatnonzero(new)
     times = np.diff(np.append(head, len(order)))
     struct = pa.StructArray.from_arrays([pa.array(toks[head].view(np.int64)), pa.array(times.astype(np.int32))], fields=[pa.field("token", pa.int64()), pa.field("n", pa.int32())])
+    pair, held, _, _ = pair_keys(m, h, first)
+    order = np.lexsort((pair, row))
+    rows_, pair, held = row[order], pair[order], held[order]
+    start = np.flatnonzero(np.concatenate([[True], (rows_[1:] != rows_[:-1]) | (pair[1:] != pair[:-1])])) if len(h) else np.zeros(0, np.int64)
+    met = pa.StructArray.from_arrays([pa.array(pair[start]), pa.array(held[start]), pa.array(np.diff(np.append(start, len(h))).astype(np.int32))], fields=[pa.field("pair", pa.int64()), pa.field("held", pa.int64()), pa.field("n", pa.int32())])
+    out["pairs"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows_[start], np.arange(n + 1)).astype(np.int32)), met)
     out["tail"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[head], np.arange(n + 1)).astype(np.int32)), struct)
     return out
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, weights: DataFrame, held: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -251,13 +299,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.token", F.col("t.n").alias("times"))
     rare = counts.filter("NOT heavy").select("token", F.col("n").alias("c"))
     met = tail.join(rare, "token").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    full = parts.drop("tail").join(met, "row", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "more_known": F.coalesce("more_known", F.lit(0))})
+    pairs = parts.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.held", F.col("p.n").alias("times")).join(weights, "pair", "left")
+    seen = pairs.filter("w IS NOT NULL").select("row", F.col("times") * F.col("w"))
+    unseen = pairs.filter("w IS NULL").join(held, "held").select("row", F.col("times") * F.col("b"))
+    moved = seen.union(unseen).toDF("row", "moved").groupBy("row").agg(F.sum("moved").alias("moved"))
+    full = parts.drop("tail", "pairs").join(met, "row", "left").join(moved, "row", "left").withColumns({"moved": F.coalesce("moved", F.lit(0.0)), "more": F.coalesce("more", F.lit(0.0)), "more_known": F.coalesce("more_known", F.lit(0))})
     found = F.col("counts") + F.col("more")
     whole = float(np.log10(model.total + model.distinct + 1))
-    return full.select("doc_id", "n_tokens", (F.col("known") + F.col("more_known")).cast("long").alias("n_known"), (found - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (found + F.col("rest")).alias("score"))
+    return full.select("doc_id", "n_tokens", (F.col("known") + F.col("more_known")).cast("long").alias("n_known"), (found - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (found + F.col("rest") + F.col("moved")).alias("score"))
 
 
 def query(docs: DataFrame) -> DataFrame:
-    model, counts = train(docs)
-    got = score(docs, model, counts)
+    model, counts, weights, held = train(docs)
+    got = score(docs, model, counts, weights, held)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
