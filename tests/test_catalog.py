@@ -44,6 +44,18 @@ def test_whole_queries_drop_no_user(spark, con):
     assert official <= set(got) and not any(got[u] == "PROBABLY_CURRENT" for u in official)
 
 
+def test_whole_features(spark, con):
+    """Rejected and rare terms, and words after a text's twelfth, count."""
+    assert "[1:12]" not in catalog.ORACLE["q_feedback_score_whole"]
+    profile = catalog.QUERIES["q_feature_profile_classes"](spark, DIR).toPandas()
+    assert (profile.rejected > 0).any() and (profile[["approved", "rejected"]].max(axis=1) < 20).any()
+    least, whole = (catalog.QUERIES[n](spark, DIR).selectExpr("sum(positive + negative)").first()[0] for n in ("q_feedback_score", "q_feedback_score_whole"))
+    assert whole > least
+    d, b = (con.execute(f"select count(distinct text) from {n}").fetchone()[0] for n in ("documents", "benchmark"))
+    got = catalog.QUERIES["q_set_overlap_texts"](spark, DIR).first()
+    assert 0 < got["both_"] + got["left_"] <= d and 0 < got["both_"] + got["right_"] <= b
+
+
 def test_fold_forms_agree(spark):
     from pyspark.sql import functions as F
 

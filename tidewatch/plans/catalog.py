@@ -98,6 +98,14 @@ def q_set_overlap(t):
     return c.join(s, "k", "full").agg(F.count_if(F.expr("c = 1 AND s = 1")).alias("both_"), F.count_if(F.expr("s IS NULL")).alias("left_"), F.count_if(F.expr("c IS NULL")).alias("right_"))
 
 
+@query(f"""WITH d AS (SELECT DISTINCT md5({NORM.format("coalesce(text, '')")}) AS k FROM documents), b AS (SELECT DISTINCT md5({NORM.format("coalesce(text, '')")}) AS k FROM benchmark)
+SELECT count(*) FILTER (d.k IS NOT NULL AND b.k IS NOT NULL) AS both_, count(*) FILTER (b.k IS NULL) AS left_, count(*) FILTER (d.k IS NULL) AS right_ FROM d FULL JOIN b ON d.k = b.k""")
+def q_set_overlap_texts(t):
+    """Text keys of documents and benchmark: digests of normalised texts, one full join."""
+    of = lambda name, side: t(name).groupBy(F.md5(text.normalize_text(F.col("text"))).alias("k")).agg(F.lit(1).alias(side))
+    return of("documents", "d").join(of("benchmark", "b"), "k", "full").agg(F.count_if(F.expr("d = 1 AND b = 1")).alias("both_"), F.count_if(F.expr("b IS NULL")).alias("left_"), F.count_if(F.expr("d IS NULL")).alias("right_"))
+
+
 @query("""SELECT n_name, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open_, count(*) FILTER (o_orderstatus = 'P') AS partial_ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
 def q_status_counts(t):
     by = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "done"), ("O", "open_"), ("P", "partial_"))])
@@ -319,3 +327,13 @@ def q_feature_profile(t):
     good = t("documents").select("doc_id", "text").join(t("labels").filter("quality = 1"), "doc_id", "left_semi")
     terms = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.regexp_extract(F.lower(w), "[a-z]+", 0)))
     return good.select(F.explode(terms).alias("term")).filter(F.length("term") >= 5).groupBy("term").agg(F.count("*").alias("support")).filter("support >= 20")
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, quality, regexp_extract(lower(word), '[a-z]+') AS term FROM (SELECT doc_id, quality, unnest(string_split(text, ' ')) AS word FROM documents JOIN labels USING (doc_id)))
+SELECT term, count(*) FILTER (quality = 1) AS approved, count(*) FILTER (quality = 0) AS rejected FROM w WHERE length(term) >= 5 GROUP BY 1 HAVING greatest(count(*) FILTER (quality = 1), count(*) FILTER (quality = 0)) >= 3""")
+def q_feature_profile_classes(t):
+    """Terms of all rated documents by class, where a class has the reference's least support of 3."""
+    rated = t("documents").select("doc_id", "text").join(t("labels").select("doc_id", "quality"), "doc_id")
+    terms = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.regexp_extract(F.lower(w), "[a-z]+", 0)))
+    by = rated.select("quality", F.explode(terms).alias("term")).filter(F.length("term") >= 5).groupBy("term")
+    return by.agg(F.count_if(F.col("quality") == 1).alias("approved"), F.count_if(F.col("quality") == 0).alias("rejected")).filter("greatest(approved, rejected) >= 3")

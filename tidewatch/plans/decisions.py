@@ -115,17 +115,27 @@ def q_targeted_score(t):
     return d.select("doc_id", score.alias("score")).filter("score >= 45")
 
 
+def _fed_back(t, part) -> DataFrame:
+    words = part(F.filter(F.split(text.fold_text(F.col("text")), " "), lambda w: F.length(w) >= 5))
+    features = t("documents").select("doc_id", F.explode(F.array_distinct(words)).alias("feature"))
+    judged = features.join(t("labels").select("doc_id", (F.col("quality") == 1).alias("approved")), "doc_id")
+    return evidence.feedback_score(features, evidence.feedback_profile(judged), "doc_id")
+
+
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, feature FROM (SELECT doc_id, unnest(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: length(x) >= 5)[1:12]) AS feature FROM documents)),
 p AS (SELECT feature, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS r FROM w JOIN labels USING (doc_id) GROUP BY 1),
 s AS (SELECT feature, CASE WHEN a >= 3 AND a > r THEN (a - r) / (a + r) END AS up, CASE WHEN r >= 3 AND r > a THEN (r - a) / (a + r) END AS down FROM p),
 h AS (SELECT doc_id, coalesce(sum(up), 0) - coalesce(sum(down), 0) AS raw, count(up) AS positive, count(down) AS negative FROM w LEFT JOIN s USING (feature) GROUP BY 1)
 SELECT doc_id, round(greatest(-0.85, least(0.85, CASE WHEN positive > 0 AND negative > 0 THEN raw * 0.35 ELSE raw END / 6)), 3) AS score, positive, negative FROM h""")
 def q_feedback_score(t):
-    """Reviews feed back: features that reviewers approved or rejected at least three times move a document's score."""
-    words = F.slice(F.filter(F.split(text.fold_text(F.col("text")), " "), lambda w: F.length(w) >= 5), 1, 12)
-    features = t("documents").select("doc_id", F.explode(F.array_distinct(words)).alias("feature"))
-    judged = features.join(t("labels").select("doc_id", (F.col("quality") == 1).alias("approved")), "doc_id")
-    return evidence.feedback_score(features, evidence.feedback_profile(judged), "doc_id")
+    """Reviews feed back, by the first 12 long words of a text: features approved or rejected at least three times move a score."""
+    return _fed_back(t, lambda words: F.slice(words, 1, 12))
+
+
+@query(ORACLE["q_feedback_score"].replace("[1:12]", ""))
+def q_feedback_score_whole(t):
+    """The same by all long words of a text."""
+    return _fed_back(t, lambda words: words)
 
 
 _HALF = " WHERE user_id % 2 = 0 OR event_type = 'error'"
