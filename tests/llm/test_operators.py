@@ -177,6 +177,39 @@ def test_media(spark, docs):
     assert [(x["position"], x["kind"], x["text"] or x["src"], x["caption"]) for x in items] == [(0, "text", "A", None), (1, "text", "b", None), (2, "image", "x.png", "cap"), (3, "text", "c", None), (4, "video", "v", None)]
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<video><source src=a.mp4><source src=a.webm></video><audio><source src=b.ogg></audio><picture><source srcset=c><img src=d></picture>", [("video", "a.mp4", None), ("video", "a.webm", None), ("audio", "b.ogg", None), ("image", "d", None)]),
+        ("a<figure><figcaption>before</figcaption><img src=x></figure>b", [("text", "a", None), ("image", "x", "before"), ("text", "b", None)]),
+        ("<figure><figcaption>alone</figcaption><p>then</p></figure>", [("text", "alone", None), ("text", "then", None)]),
+        ("<figure><img src=x><figcaption>open</figure>rest<p>more", [("image", "x", "open"), ("text", "rest", None), ("text", "more", None)]),
+        ("<figure><figcaption>never closed", [("text", "never closed", None)]),
+        ("a<figcaption>loose</figcaption>b", [("text", "a", None), ("text", "loose", None), ("text", "b", None)]),
+        ("<figure><figure><img src=x><figcaption>in</figcaption></figure><img src=y><figcaption>out</figcaption></figure>", [("image", "x", "in"), ("image", "y", "out")]),
+    ],
+)
+def test_media_loses_nothing(html, want):
+    items = media.parse(html)
+    assert [(x["kind"], x["text"] or x["src"], x["caption"]) for x in items] == want
+    assert [x["position"] for x in items] == list(range(len(items)))
+
+
+def test_interleave_pages(spark):
+    """Over the table pages: all visible words, and all references by kind, as plain expressions find them."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").limit(100)
+    more = spark.createDataFrame([(-1, "<figure><figcaption>one two<video><source src=v></video></figure> three"), (-2, "<figure><figcaption>four"), (-3, None)], df.schema)
+    marked, f = media.interleave(df.union(more))
+    for r in marked.select("page_id", "html", F.col(f)["items"].alias("items")).collect():
+        bare = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1\s*>", " ", r["html"] or "")
+        captions = {x["caption"] for x in r["items"] if x["caption"] and x["caption"] not in re.findall(r"alt=[\"']?([^\"'>]*)", bare)}
+        got = Counter("".join(" ".join([*(x["text"] or "" for x in r["items"]), *captions]).split()))
+        assert got == Counter("".join(__import__("html").unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split())), r["page_id"]
+        assert sum(x["kind"] != "text" for x in r["items"]) == len(re.findall(r"(?is)<(?:img|video|audio|iframe|source)\b[^>]*\s(?:src|data-digest)=", bare)), r["page_id"]
+
+
 def test_quality(spark):
     good, bad = "the report of the council was read and accepted", "zz### qq%%% vv$$$ kk### xx&&&"
     rows = [(i, (good if i % 2 else bad) + f" {i}") for i in range(120)] + [(None, None), (500, "")]

@@ -36,69 +36,100 @@ ITEM = StructType([StructField("position", IntegerType()), StructField("kind", S
 SEQUENCE = StructType([StructField("items", ArrayType(ITEM))])
 MEASURES = StructType([StructField("media_sha256", StringType()), StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("feature", StringType())])
 
-_MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": None, "iframe": "frame"}
+_MEDIA = {"img": "image", "video": "video", "audio": "audio", "iframe": "frame"}
 _BREAKS = set("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 article section header footer figure blockquote pre hr title nav".split())
 _HIDDEN = {"script", "style", "noscript", "template"}
 
 
 class _Sequence(HTMLParser):
-    """Items in document order; a figcaption belongs to the references of its figure, else ``alt`` is the caption."""
+    """Items in document order; a figcaption belongs to the references of its figure, else ``alt`` is the caption.
+
+    A source is of the kind of its open video or audio.  A caption ends with its figure at the latest; in a figure
+    without references, or outside of any, it is a text item in its place.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden = self.caption_depth = 0
-        self.caption: list[str] = []
-        self.figure: list[int] | None = None
+        self.hidden = 0
+        self.figures: list[dict] = []
+        self.playing: list[str] = []
+
+    def item(self, kind, said=None, src=None, digest=None, caption=None):
+        return {"position": None, "kind": kind, "text": said, "src": src, "digest": digest, "caption": caption}
 
     def flush(self):
         said = " ".join("".join(self.words).split())
         self.words = []
         if said:
-            self.items.append({"position": len(self.items), "kind": "text", "text": said, "src": None, "digest": None, "caption": None})
+            self.items.append(self.item("text", said))
+
+    def settle(self):
+        """The innermost figure ends."""
+        self.flush()
+        f = self.figures.pop()
+        said = " ".join("".join(f["said"]).split())
+        for x in f["items"]:
+            x["caption"] = said or x["caption"]
+        if said and not f["items"]:
+            self.items.insert(f["place"], self.item("text", said))
 
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
             self.hidden += 1
-        if tag in _BREAKS:
+        if tag in _BREAKS or tag == "figcaption":
             self.flush()
         if tag == "figure":
-            self.figure = []
-        if tag == "figcaption":
-            self.flush()
-            self.caption_depth, self.caption = 1, []
+            self.figures.append({"items": [], "said": [], "place": len(self.items), "open": False})
+        if tag == "figcaption" and self.figures:
+            f = self.figures[-1]
+            f["place"] = f["place"] if f["said"] else len(self.items)
+            f["open"] = True
+            f["said"].append(" ")
         a = dict(attrs)
-        if _MEDIA.get(tag) and (a.get("src") or a.get("data-digest")):
+        kind = self.playing[-1] if tag == "source" and self.playing else _MEDIA.get(tag)
+        if tag in ("video", "audio"):
+            self.playing.append(tag)
+        if kind and (a.get("src") or a.get("data-digest")):
             self.flush()
             src = a.get("src")
             digest = a.get("data-digest") or (src[7:] if src and src.startswith("sha256:") else None)
-            if self.figure is not None:
-                self.figure.append(len(self.items))
-            self.items.append({"position": len(self.items), "kind": _MEDIA[tag], "text": None, "src": src, "digest": digest, "caption": a.get("alt") or None})
+            self.items.append(self.item(kind, None, src, digest, a.get("alt") or None))
+            if self.figures:
+                self.figures[-1]["items"].append(self.items[-1])
 
     def handle_endtag(self, tag):
         if tag in _HIDDEN and self.hidden:
             self.hidden -= 1
-        if tag == "figcaption" and self.caption_depth:
-            self.caption_depth = 0
-            for i in self.figure or []:
-                self.items[i]["caption"] = " ".join("".join(self.caption).split()) or self.items[i]["caption"]
+        if tag in self.playing:
+            del self.playing[len(self.playing) - 1 - self.playing[::-1].index(tag) :]
+        if tag == "figcaption":
+            self.flush()
+            if self.figures:
+                self.figures[-1]["open"] = False
         if tag in _BREAKS:
             self.flush()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self.settle()
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.caption if self.caption_depth else self.words).append(data)
+            (self.figures[-1]["said"] if self.figures and self.figures[-1]["open"] else self.words).append(data)
+
+    def close(self):
+        super().close()
+        while self.figures:
+            self.settle()
+        self.flush()
+        for i, x in enumerate(self.items):
+            x["position"] = i
 
 
 def parse(html: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(html or "")
     p.close()
-    p.flush()
     return p.items
 
 
