@@ -7,13 +7,20 @@ of labelled rows (``TRAIN_ROWS``, taken by a hash of doc_id); scoring is a narro
 pass over all documents.  For scoring, the product of table and output layer is
 folded into one number per bucket, which is exact as the model is linear there.
 
+A step is divided by one plus the squared norms of the vector and of the output
+layer it meets, so no step moves a document's own logit by more than
+``RATE``; a model that is not finite is refused.
+
 Scale: the model (``BUCKETS`` numbers) is all that is shipped; its size does not
 depend on the data.  Labels join documents by doc_id for the sampled ids only.
+The training task turns each text of the sample into at most ``BUCKETS`` numbers
+as it reads it.
 
-Defined results: a null text is empty; an empty text has the score of the prior
+Defined results: a null text is empty; an empty text has the score of the bias
 alone; without labelled rows, or with one class only, the score is the prior
 (0.5 without rows); a doc_id labelled more than once counts as 1 if any label
-is 1; null doc_ids are scored, never learned from; repeated rows repeat.
+is 1; null doc_ids are scored, never learned from; repeated rows repeat; an empty
+table gives no rows; columns of any other name pass through untouched.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ BUCKETS = 1 << 16
 GRAMS = (3, 4)  # bytes of a character n-gram
 DIMS = 8
 EPOCHS = 6
-RATE = 0.5
+LEAST_STEPS = 6000  # a small sample is read more often, until so many steps are made
+RATE = 1.0
 _SEED = 7
 
 
@@ -59,7 +67,13 @@ def _buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(parts), np.concatenate(rows)
 
 
-def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature buckets of a text and their shares."""
+    ids, n = np.unique(_buckets(*_text.flat(pa.array([text], pa.string())))[0], return_counts=True)
+    return ids, (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
     """Folded model: a logit per bucket, then the bias."""
     model = np.zeros(BUCKETS + 1)
     y = np.array(labels, float)
@@ -69,21 +83,19 @@ def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
     model[-1] = np.log(share / (1 - share))
     if y.min() == y.max():
         return model
-    bags = []
-    for t in texts:
-        b, _ = _buckets(*_text.flat(pa.array([t], pa.string())))
-        ids, n = np.unique(b, return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(_SEED)
     table = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     out = np.zeros((2, DIMS), np.float32)
-    bias = np.array([0.0, model[-1]], np.float32)
+    bias = np.zeros(2, np.float32)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # classes weigh alike while learning
-    steps, done = EPOCHS * len(y), 0
-    for _ in range(EPOCHS):
+    weight = np.minimum(weight / weight.mean(), 4.0)
+    spread = np.array([1 / max(float((w * w).sum()), 1e-6) for _, w in bags])
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(y)))
+    steps, done = epochs * len(y), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             ids, w = bags[i]
-            rate = RATE * (1 - done / steps) * weight[i]
+            rate = min(1.0, RATE * (1 - done / steps) * weight[i])
             done += 1
             if not len(ids):
                 continue
@@ -91,14 +103,17 @@ def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
             z = out @ hidden + bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            g = p.copy()
-            g[int(y[i])] -= 1
-            back = g @ out
-            out -= rate * np.outer(g, hidden)
-            # the mean spreads a gradient over all features; scaled up so that each vector moves visibly
-            table[ids] -= rate * (w * len(ids))[:, None].clip(max=4) * back[None, :]
+            p[int(y[i])] -= 1
+            back = p @ out
+            rate /= 1 + float(hidden @ hidden) + float((out * out).sum())
+            out -= rate * np.outer(p, hidden)
+            bias -= rate * p
+            # the mean spreads a gradient over all features: ``spread`` makes the mean itself move by ``rate * back``
+            table[ids] -= (rate * spread[i]) * w[:, None] * back[None, :]
     model[:-1] = table @ (out[1] - out[0])
     model[-1] = bias[1] - bias[0]
+    if not np.isfinite(model).all():
+        raise FloatingPointError("the quality model is not finite")
     return model
 
 
@@ -121,12 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     chosen = marks.withColumn("turn", F.xxhash64("doc_id", F.lit(_SEED))).orderBy("turn", "doc_id").limit(rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
     # a doc_id may repeat in the documents: the bound holds for rows, too
-    sample = sample.orderBy("turn", "doc_id", F.xxhash64("text")).limit(rows).select("text", "quality", "turn", "doc_id")
+    sample = sample.withColumn("place", F.xxhash64("text")).orderBy("turn", "doc_id", "place").limit(rows).select("text", "quality", "turn", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [r for b in batches for r in b.to_pylist()]
-        held.sort(key=lambda r: (r["turn"], r["doc_id"], r["text"] or ""))
-        model = train([r["text"] for r in held], [int(r["quality"] > 0) for r in held])
+        held = []
+        for b in batches:
+            for i in range(b.num_rows):
+                text, quality, turn, doc_id, place = (b.column(k)[i].as_py() for k in range(5))
+                held.append((turn, doc_id, place, int(quality > 0), bag(text)))
+        held.sort(key=lambda r: r[:4])
+        model = train([r[4] for r in held], [r[3] for r in held])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype(np.float64).tobytes()], pa.binary())})
 
     got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
