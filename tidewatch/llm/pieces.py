@@ -1,17 +1,22 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 A slice of texts is cut into words (a run of spaces and what follows it), equal
-words are encoded once.  All words of a slice lie in one flat symbol array; a
-round finds the best-ranked pair of every word (segmented minimum), merges its
-leftmost occurrences in all words at once and compacts the arrays, until no
-word has a pair left.  Symbols outside the vocabulary fall back to bytes.
+words are encoded once.  A word is cut where no piece of the vocabulary holds both
+neighbours, as no merge can cross such a place.  All parts of a slice lie in one
+flat symbol array; a round finds the best-ranked pair of every part (segmented
+minimum) and merges its occurrences in all parts at once, from the left up to the
+first one whose new neighbours pair as well or better, so the order of single
+merges is kept; then it compacts the arrays, until no part has a pair left.
+Symbols outside the vocabulary fall back to bytes.
 
 Scale: one narrow pass, no shuffle; the vocabulary (32 thousand pieces) is the
 only thing shipped to tasks, and its size does not depend on the data.
 
 Defined results: a null or empty text has the end id alone; control strings in
 a text are ordinary text; U+2581 in a text decodes to a space, as the format
-has it; repeated rows repeat.
+has it; repeated rows repeat; an empty table gives no rows; a column ``ids`` of the
+input stays and the new one takes a longer name; a text of any length is one slice,
+a text without spaces takes a round per rank its longest part holds, not per merge.
 """
 
 from __future__ import annotations
@@ -61,13 +66,7 @@ class Vocabulary:
         pairs = {(normal[p[:k]] << 32) | normal[p[k:]]: i for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
         self.pair_key = np.array(sorted(pairs), np.int64)
         self.pair_id = np.array([pairs[k] for k in self.pair_key.tolist()], np.int64)
-        # Every occurrence of a word's best pair may merge in one round as long as no merge makes an equal or better
-        # pair; below the rank ``safe`` none does, from there on a word merges its leftmost occurrence only.
-        left, right = self.pair_key >> 32, self.pair_key & 0xFFFFFFFF
-        multi = np.array([len(p) > 1 for p in self.pieces])
-        part = np.maximum(np.where(multi[left], self.rank[left], -1), np.where(multi[right], self.rank[right], -1))
-        odd = self.rank[self.pair_id] <= part
-        self.safe = int(self.rank[self.pair_id][odd].min()) if odd.any() else int(_NONE)
+        self.neighbours = np.unique(np.array([(ord(x) << 32) | ord(y) for p in normal for x, y in zip(p, p[1:])], np.int64))  # noqa: B905
         inner = [p for p in normal if "▁" in p.lstrip("▁")]
         if inner:
             raise ValueError(f"pieces that cross words can't be encoded word by word: {inner[:3]}")
@@ -109,10 +108,11 @@ def merge_rounds(sym: np.ndarray, size: np.ndarray, v: Vocabulary) -> tuple[np.n
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
         head = np.flatnonzero(new)
-        leftmost = np.ones(len(at), bool)
-        leftmost[1:] = owner[1:] != owner[:-1]
-        pick = ((np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0) & (leftmost | (best[owner] < v.safe))
+        pick = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0
         at, owner = at[pick], owner[pick]
+        if len(at) > len(word):  # some word merges more than once
+            pick = in_order(sym, made, at, owner, first, size, best, v)
+            at, owner = at[pick], owner[pick]
         sym[at] = made[at]
         gone = np.zeros(len(sym), bool)
         gone[at + 1] = True
@@ -139,12 +139,38 @@ def merge_rounds(sym: np.ndarray, size: np.ndarray, v: Vocabulary) -> tuple[np.n
     return out, total
 
 
+def in_order(sym, made, at, owner, first, size, best, v: Vocabulary) -> np.ndarray:
+    """Which of the merges ``at`` come next in each word: all up to the first whose result pairs, with a neighbour, as well or better."""
+    new = made[at]
+    last = np.ones(len(at), bool)
+    last[:-1] = owner[1:] != owner[:-1]
+    first_of = np.ones(len(at), bool)
+    first_of[1:] = last[:-1]
+    start, end = first[owner], first[owner] + size[owner]
+    before = sym[np.maximum(at - 1, 0)].astype(np.int64)
+    beside = np.flatnonzero(~first_of & (np.append(-9, at[:-1]) + 2 == at))  # the left neighbour has just been made, too
+    before[beside] = new[beside - 1]
+    left = np.where(at > start, v.merged(before, new), -1)
+    right = np.where(at + 2 < end, v.merged(new, sym[np.minimum(at + 2, len(sym) - 1)]), -1)
+    limit = best[owner]
+    stop = ((left >= 0) & (v.rank[left] <= limit)) | ((right >= 0) & (v.rank[right] <= limit))
+    stops = np.cumsum(stop) - stop  # stops before each merge
+    return stops == np.repeat(stops[first_of], np.diff(np.append(np.flatnonzero(first_of), len(at))))
+
+
 def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of distinct words (with their leading spaces), flat, and each word's number of ids."""
     points = np.frombuffer("".join(words).replace(" ", "▁").encode("utf-32-le"), np.uint32).astype(np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     known = v.char_id[points].astype(np.int64)
-    sym, n = merge_rounds(np.where(known >= 0, known, -1 - points), size, v)
+    starts = np.ones(len(points), bool)
+    pair = (points[:-1] << 32) | points[1:]
+    at = np.minimum(np.searchsorted(v.neighbours, pair), len(v.neighbours) - 1)
+    starts[1:] = v.neighbours[at] != pair
+    starts[np.cumsum(size) - size] = True
+    begin = np.flatnonzero(starts)
+    sym, parts = merge_rounds(np.where(known >= 0, known, -1 - points), np.diff(np.append(begin, len(points))), v)
+    n = np.bincount(np.searchsorted(np.cumsum(size), begin, "right"), weights=parts, minlength=len(size)).astype(np.int64)
     lost = np.flatnonzero(sym < 0)
     if not len(lost):
         return sym, n
