@@ -11,12 +11,16 @@ never become Python strings.
 
 Defined results: a null text is empty and has no spans; offsets count code
 points, end exclusive; a span found in both forms is reported once; an added
-span that overlaps a base span of its kind is dropped; repeated rows repeat.
+span that overlaps a base span of its kind is dropped; repeated rows repeat; an
+empty table gives no rows; columns of any name pass through; a text of any length
+takes time in proportion to it and to its spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,34 +109,46 @@ _WORD = "zero|one|two|three|four|five|six|seven|eight|nine"
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ -]+)?(?:{_WORD})(?:[ ,.-]{{1,2}}(?:{_WORD}|[0-9]+))*(?![A-Za-z])", re.I)
 _PIECE = re.compile(rf"plus|{_WORD}|[0-9]+", re.I)
 _BRACKETED = re.compile(r" ?[(\[{<] ?(at|dot) ?[)\]}>] ?", re.I)
-_LOOSE = re.compile(r"[A-Za-z0-9._%+-]+( at |@)[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)* dot [A-Za-z]{2,}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
+# searched from its sign: what stands before it needs one character of a local part only, so a long run costs nothing
+_LOOSE = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:(?: at |@)[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)* dot [A-Za-z]{2,}(?![A-Za-z0-9])| at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+)", re.I)
 _LOOSE_SIGN = re.compile(r" (at|dot) ", re.I)
+_MAP = str.maketrans(HOMOGLYPHS | dict.fromkeys(INVISIBLE))
+_GONE = np.array(sorted(map(ord, INVISIBLE)), np.uint32)
 
 
 class Plain:
-    """A plain form in the making: characters, and for each the source span it stands for."""
+    """A plain form in the making: its text, and for each character the source span it stands for."""
 
     def __init__(self, text: str):
-        self.chars, self.start, self.end = [], [], []
-        for i, c in enumerate(text):
-            if c not in INVISIBLE:
-                self.chars.append(HOMOGLYPHS.get(c, c))
-                self.start.append(i)
-                self.end.append(i + 1)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.text = text.translate(_MAP)
+        self.start = np.flatnonzero(~np.isin(points, _GONE))
+        self.end = self.start + 1
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ascending, disjoint ranges; each new character stands for the whole range's source."""
-        chars, start, end, at = [], [], [], 0
+        if not edits:
+            return
+        said, start, end, at = [], [], [], 0
         for a, b, new in edits:
-            chars += self.chars[at:a] + list(new)
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
+            said += [self.text[at:a], new]
+            start += [self.start[at:a], np.repeat(self.start[a], len(new))]
+            end += [self.end[at:a], np.repeat(self.end[b - 1], len(new))]
             at = b
-        self.chars, self.start, self.end = chars + self.chars[at:], start + self.start[at:], end + self.end[at:]
-
-    @property
-    def text(self) -> str:
-        return "".join(self.chars)
+        self.text = "".join([*said, self.text[at:]])
+        self.start, self.end = np.concatenate([*start, self.start[at:]]), np.concatenate([*end, self.end[at:]])
+
+
+def loose(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses in words, each from its sign on; its local part may not lie in the one before."""
+    out, at, free = [], 0, 0
+    while m := _LOOSE.search(text, at):
+        if m.start() > free or not out:
+            out.append(m.span())
+            at = free = m.end()
+        else:
+            at = m.start() + 1
+    return out
 
 
 def plain(text: str) -> Plain:
@@ -147,20 +163,12 @@ def plain(text: str) -> Plain:
             new = "+" if w[0].lower() == "plus" else DIGITS.get(w[0].lower(), w[0])
             if w[0] != new:
                 edits.append((off + w.start(), off + w.end(), new))
-            if nxt and p.text is not None and nxt.start() > w.end():
+            if nxt and nxt.start() > w.end():
                 edits.append((off + w.end(), off + nxt.start(), ""))
-    if edits:
-        p.rewrite(edits)
+    p.rewrite(edits)
+    p.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(p.text)])
     now = p.text
-    edits = [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(now)]
-    if edits:
-        p.rewrite(edits)
-        now = p.text
-    edits = []
-    for m in _LOOSE.finditer(now):
-        edits += [(m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() == "at" else ".") for s in _LOOSE_SIGN.finditer(m[0])]
-    if edits:
-        p.rewrite(edits)
+    p.rewrite([(*s.span(), "@" if s[1].lower() == "at" else ".") for a, b in loose(now) for s in _LOOSE_SIGN.finditer(now, a, b)])
     return p
 
 
@@ -172,13 +180,14 @@ def find(text: str, disguised: bool = True) -> list[tuple[str, int, int, bool]]:
         p = plain(text)
         now = p.text
         if now != text:
-            taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-            for k, a, b in base:
-                taken[k].append((a, b))
-            for k, a, b in detect(now):
-                s, e = p.start[a], p.end[b - 1]
-                if text[s:e] != now[a:b] and not any(x < e and s < y for x, y in taken[k]):
-                    taken[k].append((s, e))
+            starts, ends = ({k: [s[i] for s in base if s[0] == k] for k in KINDS} for i in (1, 2))
+            free = dict.fromkeys(KINDS, 0)
+            for k, a, b in detect(now):  # ascending per kind, and so are their sources
+                s, e = int(p.start[a]), int(p.end[b - 1])
+                near = bisect_right(ends[k], s)  # the first base span that ends behind s
+                met = s < free[k] or (near < len(ends[k]) and starts[k][near] < e)
+                if not met and text[s:e] != now[a:b]:
+                    free[k] = e
                     spans.append((k, s, e, False))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -200,22 +209,48 @@ def _rows(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(at, offs[1:], "left") > np.searchsorted(at, offs[:-1], "left")
 
 
+def _found(col: pa.Array) -> Iterator[tuple[int, str, list]]:
+    """Row, text and spans of each text that may hold any."""
+    data, offs = _text.flat(col)
+    odd = _rows(_LEADS[data], offs)
+    for m in _TRIGGER.finditer(_text.LOWER[data].tobytes()):
+        odd[np.searchsorted(offs, m.start(), "right") - 1] = True
+    for i in np.flatnonzero(odd | _rows(_SIGNS[data], offs)):
+        text = col[int(i)].as_py() or ""
+        yield int(i), text, find(text, bool(odd[i]))
+
+
 def _kernel():
     def work(part: pa.RecordBatch) -> dict:
-        col = part.column(0)
-        data, offs = _text.flat(col)
-        odd = _rows(_LEADS[data], offs)
-        for m in _TRIGGER.finditer(_text.LOWER[data].tobytes()):
-            odd[np.searchsorted(offs, m.start(), "right") - 1] = True
-        out: list[list] = [[] for _ in range(len(col))]
-        for i in np.flatnonzero(odd | _rows(_SIGNS[data], offs)):
-            text = col[int(i)].as_py() or ""
-            out[i] = [{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in find(text, bool(odd[i]))]
+        out: list[list] = [[] for _ in range(part.num_rows)]
+        for i, _, spans in _found(part.column(0)):
+            out[i] = [{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in spans]
         return {"spans": out}
 
     return work
 
 
+def redacted(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
+    """Spans replaced by their kind in brackets; one that starts inside an earlier one is covered with it."""
+    said, at = [], 0
+    for a, b, k in sorted((a, b, k) for k, a, b, _ in spans):
+        if a >= at:
+            said += [text[at:a], f"[{k.upper()}]"]
+        at = max(at, b)
+    return "".join([*said, text[at:]])
+
+
+def _redactor():
+    def work(part: pa.RecordBatch) -> dict:
+        out: list[str | None] = [None] * part.num_rows
+        for i, text, spans in _found(part.column(0)):
+            if spans:
+                out[i] = redacted(text, spans)
+        return {"text": out}
+
+    return work
+
+
 def find_pii(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (its name is returned) holding the ``spans`` of personal data."""
     return annotate(docs, _kernel, FIELDS, keep)
@@ -223,21 +258,11 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame,
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; ``n_chars``, where present, follows."""
-    marked, f = find_pii(docs)
-    # spans of different kinds may overlap: one that starts inside an earlier one is covered with it
-    order = F.array_sort(F.transform(F.col(f)["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        covered = s["start"] < acc["at"]
-        gap = F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.when(covered, acc["done"]).otherwise(F.concat(acc["done"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    rest = lambda acc: F.concat(acc["done"], F.col("text").substr(acc["at"] + 1, F.length("text")))
-    text = F.when(F.size(order) > 0, F.aggregate(order, start, step, rest)).otherwise(F.col("text"))
-    out = marked.withColumn("text", text)
+    marked, f = annotate(docs, _redactor, StructType([StructField("text", StringType())]))
+    new = F.col(f)["text"]
+    out = marked.withColumn("text", F.coalesce(new, F.col("text").cast("string")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(order) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
