@@ -12,11 +12,13 @@ every start in code points.
 
 Scale: the index is keyed by a digest of the text, so copies of one text are one
 entry (pre-aggregated before the shuffle); clauses are a small literal table.
-Candidates join texts by digest: the candidate side has one row per digest, and
-the join may split a hot digest's texts.
+Candidates join texts by digest: they are written as one row per digest, so Spark
+broadcasts them while they are small, and may split a hot digest's texts beyond.
 
 Defined results: a null text is empty; matches per rule are leftmost and do not
-overlap; a match too short is dropped without another try; repeated rows repeat.
+overlap; a match too short is dropped without another try; repeated rows repeat;
+an empty table gives no rows; a column named like the result stays, the result
+takes a longer name; any number of matches in a text costs in proportion to it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from re import _parser as _syntax
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import free_name, table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,6 +56,7 @@ RULES = (
     Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 _MOST = 64
+_RUN = 256
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -127,15 +132,27 @@ def spans_of(text: Column, rule: Rule) -> Column:
     hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     held = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else hits
     none = F.array().cast("array<struct<start:int,end:int,held:int>>")
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["held"].alias("held")))).alias("out"))
+        begin = acc["at"] + x["gap"]
+        end = begin + x["hit"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["held"].alias("held")))).alias("out"))
+
+    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), held.alias("held"))  # one gap more than matches
+    zipped = F.filter(F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit"), z["held"].alias("held"))), lambda z: z["hit"].isNotNull())
+
+    def add(acc, run):
+        got = F.aggregate(run, start(acc["at"]), step)
+        return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+
+    def place(z):
+        # running lengths in runs of _RUN matches: no array grows beyond a run, or beyond the number of runs
+        runs = F.transform(F.sequence(F.lit(0), F.size(z) - 1, F.lit(_RUN)), lambda i: F.slice(z, i + 1, _RUN))
+        outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,held:int>>>").alias("out"))
+        return F.when(F.size(z) > 0, F.flatten(F.aggregate(runs, outer, add, lambda acc: acc["out"]))).otherwise(none)
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), held.alias("held"))
-    zipped = F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit"), z["held"].alias("held")))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.flatten(F.transform(F.array(zipped), place))  # as a lambda's argument the matches are found once
     order = next(i for i, r in enumerate(RULES) if r.kind == rule.kind) if rule in RULES else len(RULES)
     kept = F.filter(found, lambda s: s["held"] >= rule.least)
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.base).alias("base")))
@@ -145,13 +162,14 @@ SPANS = "array<struct<start:int,order:int,end:int,kind:string,base:boolean>>"
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
-    """``docs`` with an array column ``name`` of all valid spans, by start, then rule."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    """``docs`` with an array column ``name`` (longer where ``docs`` has it) of all valid spans, by start, then rule."""
+    cols, name = [F.col(f"`{c}`") for c in docs.columns], free_name(docs, name)
     keyed = docs.select(F.struct(*cols).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.md5("text")))
     by_gram = tuple(r for r in rules if trigram_query(r.pattern))
     grams = sorted({g for r in by_gram for c in trigram_query(r.pattern) for g in c})
-    hits = candidates(index(keyed.select("key", "text"), grams), by_gram) if by_gram else None
+    # written by itself, so that its size is known: few candidates are broadcast and no text is shuffled for them
+    hits = table(candidates(index(keyed.select("key", "text"), grams), by_gram)) if by_gram else None
     joined = keyed.join(hits, "key", "left") if hits is not None else keyed.withColumn("rules", F.lit(None).cast("array<string>"))
     found = []
     for r in rules:
