@@ -5,15 +5,17 @@ capture yields the keys under which an entry may name it - its host, every
 parent domain, and every path prefix of the host - and an as-of lookup takes
 the intervals of these keys that contain the time of the fetch.
 
-Scale: one shuffle of events by key, one of captures by key.  The intervals of
-a key are packed into one sorted row, so a host with a third of all captures
-meets one row and its side of the join can be split (AQE); a small list is
-broadcast by Spark's own size check.  Equal captures are aggregated first.
+Scale: one shuffle of events by key, one of captures by key.  Equal captures are
+aggregated first.  An interval stays a row of its own, so neither a host with a
+third of all captures nor a key with a third of the list makes one large row, and
+Spark may split either side of the join (AQE); a small list is broadcast by
+Spark's own size check.
 
 Defined results: a null or relative URL has no host and is never blocked; a
 null fetch time matches nothing; an event with a null key or time is ignored;
 of events of one entry at one time a removal wins, of two additions the
-category that sorts last; repeated captures repeat.
+category that sorts last; repeated captures repeat; no captures give no rows, no
+events no entries; a column ``entries`` of the captures stays.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import free_name
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user and port; empty when there is none."""
@@ -40,11 +43,6 @@ def intervals(events: DataFrame) -> DataFrame:
     return one.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").select("list", "key", "category", F.col("at").alias("since"), "until")
 
 
-def packed(valid: DataFrame) -> DataFrame:
-    """One row per key: its intervals, sorted."""
-    return valid.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("since", "until", "list", "category"))).alias("spans"))
-
-
 def keys_of(url: Column) -> Column:
     """Keys that may name a URL: ``host``-suffixes, and ``host/path`` prefixes of whole segments."""
     host, path = host_of(url), path_of(url)
@@ -57,22 +55,25 @@ def keys_of(url: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
-    """``captures`` (any columns) with ``entries``: array of (list, key, category) active at the fetch, sorted."""
+    """``captures`` (any columns) with ``entries`` (longer where they have it): array of (list, key, category) active at the fetch, sorted."""
+    name = free_name(captures, "entries")
     cols = [F.col(f"`{c}`") for c in captures.columns]
     each = captures.select(F.struct(*cols).alias("capture"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("at"))
     distinct = each.groupBy("url", "at").agg(F.lit(1).alias("one"))
     wanted = distinct.select("url", "at", F.explode(keys_of(F.col("url"))).alias("key"))
-    met = wanted.join(packed(intervals(events)), "key")
-    now = F.filter("spans", lambda s: (s["since"] <= F.col("at")) & (s["until"].isNull() | (F.col("at") < s["until"])))
-    hits = met.select("url", "at", F.explode(F.transform(now, lambda s: F.struct(s["list"].alias("list"), F.col("key").alias("key"), s["category"].alias("category")))).alias("entry"))
+    # interval by interval: a listed key with many intervals stays many rows, and both sides of the join can be split
+    valid = intervals(events).select("key", F.struct("since", "until", "list", "category").alias("s"))
+    met = wanted.join(valid, "key").filter((F.col("s.since") <= F.col("at")) & (F.col("s.until").isNull() | (F.col("at") < F.col("s.until"))))
+    hits = met.select("url", "at", F.struct(F.col("s.list").alias("list"), "key", F.col("s.category").alias("category")).alias("entry"))
     found = hits.groupBy("url", "at").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
     out = each.alias("c").join(found.alias("f"), (F.col("c.url") == F.col("f.url")) & (F.col("c.at") == F.col("f.at")), "left")
-    return out.select("capture.*", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)).alias("entries"))
+    return out.select("capture.*", F.coalesce("entries", F.array().cast(found.schema["entries"].dataType)).alias(name))
 
 
 def allowed(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures that no entry blocks, with their own columns."""
-    return evaluate(captures, events, url, fetched).filter(F.size("entries") == 0).select(*[F.col(f"`{c}`") for c in captures.columns])
+    name = free_name(captures, "entries")
+    return evaluate(captures, events, url, fetched).filter(F.size(F.col(name)) == 0).select(*[F.col(f"`{c}`") for c in captures.columns])
 
 
 def sample_events(pages: DataFrame) -> DataFrame:
