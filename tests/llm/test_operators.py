@@ -59,7 +59,7 @@ def test_components_both_ways(spark):
     assert near == far == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
 
 
-def test_decontaminate(spark, docs):
+def test_decontaminate(spark, docs, monkeypatch):
     items = [(1, " ".join(f"W{i}," for i in range(12, 30))), (2, "four five six"), (3, None), (4, "..."), (2, "four five six"), (None, "日本")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -79,6 +79,11 @@ def test_decontaminate(spark, docs):
     assert sorted(map(tuple, decontaminate.query(docs, bench).collect()), key=str) == sorted(want, key=str)
     assert decontaminate.query(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    # the same over many groups of the benchmark, one pass each
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 1)
+    assert sorted(map(tuple, decontaminate.query(docs, bench).collect()), key=str) == sorted(want, key=str)
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
     longest = [m for r in decontaminate.find_matches(docs, bench)[0].filter("doc_id = 1").collect() for m in r[-1]["matches"]]
     assert [(m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in longest] == [("1", 0, 12, 18)]
 

@@ -6,9 +6,11 @@ benchmark item is located in it by binary search.  The interval of a suffix
 gives all places where its first ``window`` words occur; places that follow one
 another on a diagonal join into the longest verbatim match.
 
-Scale: one narrow pass over the documents, no shuffle.  The benchmark travels
-in blocks of at most ``BLOCK_BYTES`` of text, which a task loads one after
-another, so neither the driver nor a task ever holds a benchmark as a whole.
+Scale: one narrow pass over the documents, no shuffle, for each ``GROUP_BYTES`` of
+benchmark text; that much, in blocks of ``BLOCK_BYTES``, is what is broadcast and
+what a task holds at once.  A benchmark of one group, as usual, needs no more.  Of
+further groups each pass writes its matches only, keyed by a row number, and an
+aggregation of these joins the documents at the end.
 
 Defined results: a null text, or one without words, has no words and no match;
 an item without words matches nothing; an item shorter than the window is one
@@ -20,18 +22,21 @@ leaves all documents clean.  Symbols are 64-bit hashes of words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import _text
-from ._spark import annotate
+from ._spark import annotate, free_name, table
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+GROUP_BYTES = 16 << 20  # a task holds some eight times as much
 _SEPARATOR = np.uint64(0)
 
 MATCH = StructType([StructField("item_id", StringType()), StructField("item_word", IntegerType()), StructField("doc_word", LongType()), StructField("n_words", IntegerType())])
@@ -107,6 +112,7 @@ class Block:
     """A block of benchmark items: symbols, and the queries (place, length, item) made of their suffixes."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
+        self.size_bytes = sum(map(len, texts))
         self.sym, first = symbols(*_text.flat(pa.array(texts, pa.string())))
         self.ids = np.array(ids, dtype=object)
         length = np.diff(first) - 1
@@ -132,6 +138,18 @@ def blocks(benchmark: DataFrame, window: int) -> Iterator[Block]:
         yield Block(ids, texts, window)
 
 
+def block_groups(benchmark: DataFrame, window: int) -> Iterator[list[Block]]:
+    """The blocks in groups of bounded size; one group at least."""
+    some, size = [], 0
+    for block in blocks(benchmark, window):
+        if some and size + block.size_bytes > GROUP_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(block)
+        size += block.size_bytes
+    yield some
+
+
 def search_shard(data: np.ndarray, offs: np.ndarray, some: Iterator[Block], window: int) -> dict:
     """All matches of the blocks' items in one shard, by row."""
     sym, first = symbols(data, offs)
@@ -163,10 +181,8 @@ def search_shard(data: np.ndarray, offs: np.ndarray, some: Iterator[Block], wind
     return {"n_words": np.diff(first) - 1, "n_hit": hit[first[1:]] - hit[first[:-1]], "items": [sorted({m["item_id"] for m in f}) for f in found], "matches": found}
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, str]:
-    """``docs`` with a struct column (its name is returned): n_words, n_hit, items, matches (longest verbatim matches and their places)."""
-    context = docs.sparkSession.sparkContext
-    shipped = [context.broadcast(b) for b in blocks(benchmark, window)]
+def one_pass(docs: DataFrame, group: list[Block], window: int, keep: list[str] | None) -> tuple[DataFrame, str]:
+    shipped = [docs.sparkSession.sparkContext.broadcast(b) for b in group]
 
     def kernel():
         def work(part: pa.RecordBatch) -> dict:
@@ -177,6 +193,32 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ke
     return annotate(docs, kernel, FIELDS, keep)
 
 
+def covered(matches: Column) -> Column:
+    """Number of words under any match: sorted by place, each adds what lies behind those before it."""
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(spans, zero, lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["at"], s["a"]))).cast("long").alias("n"), F.greatest(acc["at"], s["b"]).alias("at")), lambda acc: acc["n"])
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a struct column (its name is returned): n_words, n_hit, items, matches (longest verbatim matches and their places)."""
+    groups = block_groups(benchmark, window)
+    first, more = next(groups), next(groups, None)
+    if more is None:
+        return one_pass(docs, first, window, keep)
+    row, name = free_name(docs, "_row"), free_name(docs, "_found")
+    numbered = table(docs.withColumn(row, F.monotonically_increasing_id()))
+    passes = []
+    for group in chain([first, more], groups):
+        marked, f = one_pass(numbered, group, window, [row])
+        # the first pass counts the words of every row, all passes report their matches
+        passes.append(table(marked.select(row, F.col(f)["n_words"].alias("n_words"), F.col(f)["matches"].alias("matches")).filter("size(matches) > 0" if passes else "true")))
+    every = reduce(DataFrame.union, passes).groupBy(row).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    found = F.struct("n_words", covered(F.col("matches")).alias("n_hit"), F.array_sort(F.array_distinct(F.col("matches.item_id"))).alias("items"), "matches")
+    marked = numbered.join(every.select(row, found.alias(name)), row)
+    return marked.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)], name), name
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
     marked, name = find_matches(docs, benchmark, window)
