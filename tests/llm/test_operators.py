@@ -240,43 +240,80 @@ def test_language_model(spark, docs):
     assert lm.query(empty(docs)).count() == 0
 
 
-def test_language_model_tells_order_inside_a_class(spark, monkeypatch):
-    """Pair weights are those of the plain formula, for frequent and rare tokens, and sum to one over a class."""
+def test_language_model_is_the_plain_formula(spark, monkeypatch):
+    """Scores are those of the formula on plain counts, for frequent and rare tokens; a class's tokens sum to one."""
     import numpy as np
 
-    rows = [(i, t) for i, t in enumerate(["a b c d", "a b d c", "c d a b", "a b a b", "b a q r", ""] * 6) if zlib.crc32(str(i).encode()) % 7 != 2]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for heavy in (1 << 19, 3):
+    rows = [(i, t) for i, t in enumerate(["a b c d", "a b d c", "c d a b", "a b a b", "b a q r", ""] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(), Counter()
+    for t in learn:
+        ws = [*t.split(), " "]
+        c.update(ws)
+        pairs.update(zip(["", *ws], ws))  # noqa: B905
+    names = sorted(c)
+    flat = " ".join(w for w in names if w != " ").encode()
+    word = dict(zip([*(w for w in names if w != " "), " "], lm.tokens(np.frombuffer(flat, np.uint8), np.array([0, len(flat)]))[0], strict=True))
+    for heavy, shard in ((1 << 19, 1 << 20), (3, 7)):
         monkeypatch.setattr(lm, "HEAVY", heavy)
-        model, counts, weights, held = lm.train(df)
-        c, pairs = Counter(), Counter()
-        for _, t in rows:
+        monkeypatch.setattr(lm, "SHARD_KEYS", shard)
+        m = lm.train(df)
+        klass = {w: int(m.look_up(np.array([x]))[0][0]) for w, x in word.items()}
+        share = {w: (c[w] + 1) / 10 ** m.log_mass[klass[w]] for w in names}
+
+        def inside(u, t, m=m, klass=klass, share=share):
+            return (pairs[u, t] + lm.PRIOR * share[t]) / (sum(n for (a, b), n in pairs.items() if a == u and klass[b] == klass[t]) + lm.PRIOR)
+
+        got = {r["doc_id"]: r for r in lm.score(df, m).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
             ws = [*t.split(), " "]
-            c.update(ws)
-            pairs.update(zip(["", *ws], ws))  # noqa: B905
-        names = sorted(c)
-        h, first = lm.tokens(np.frombuffer(" ".join(w for w in names if w != " ").encode(), np.uint8), np.array([0, sum(len(w) + 1 for w in names if w != " ") - 1]))
-        word = dict(zip([w for w in names if w != " "] + [" "], h, strict=True))
-        klass = {w: int(model.look_up(np.array([x]))[0][0]) for w, x in word.items()}
-        w_of, b_of = {r["pair"]: r["w"] for r in weights.collect()}, {r["held"]: r["b"] for r in held.collect()}
-        assert len(w_of) == len(pairs)
+            h = np.array([word[w] for w in ws])
+            first = np.array([0, len(h)])
+            logs = lm.class_logits(m, lm.features(h, first))
+            assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
+            want = sum(float(logs[k, klass[w]]) / math.log(10) + math.log10(inside(u, w)) for k, (u, w) in enumerate(zip(["", *ws], ws)))  # noqa: B905
+            assert math.isclose(got[i]["score"], want, rel_tol=1e-5), (i, t)
         for u in ["", *names]:
-            if u == " ":
-                continue
             sums = Counter()
             for t in names:
-                hh = np.array([word[u], word[t]] if u else [word[t]], np.uint64)
-                key, cls, _, _ = lm.pair_keys(model, hh, np.array([0, len(hh)]))
-                in_class = sum(n for (a, b), n in pairs.items() if a == u and klass[b] == klass[t])
-                share = (c[t] + 1) / 10 ** model.log_mass[klass[t]]
-                got = share * 10 ** w_of.get(int(key[-1]), b_of.get(int(cls[-1]), 0.0))
-                assert math.isclose(got, (pairs[u, t] + lm.PRIOR * share) / (in_class + lm.PRIOR), rel_tol=1e-9)
-                sums[klass[t]] += got
+                sums[klass[t]] += inside(u, t)
             for k, x in sums.items():
-                assert x <= 1 + 1e-9 and (k >= lm.CLASSES - lm.TAIL - 1 and k < lm.CLASSES - 1 or math.isclose(x, 1, rel_tol=1e-9))
+                tail = lm.CLASSES - lm.TAIL - 1 <= k < lm.CLASSES - 1  # a tail class keeps a share for an unseen token
+                assert x < 1 if tail else math.isclose(x, 1, rel_tol=1e-9)
         two = spark.createDataFrame([(1, "a b a b c d"), (2, "b d a c b a")], "doc_id long, text string")
-        got = {r["doc_id"]: r for r in lm.score(two, model, counts, weights, held).collect()}
-        assert math.isclose(got[1]["base_score"], got[2]["base_score"]) and got[1]["score"] > got[2]["score"]
+        assert {r["doc_id"] for r in lm.score(two, m).collect()} == {1, 2}
+
+
+def test_language_model_gradient():
+    """Observed and expected feature counts against loops over tokens, features and classes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    heavy = rng.integers(1, 1 << 62, 40, dtype=np.uint64)
+    m = lm.Model(1000, 40, heavy, rng.integers(1, 50, 40), np.full(lm.TAIL, 5.0))
+    m.table = rng.normal(0, 0.3, m.table.shape).astype(np.float32)
+    h = np.concatenate([rng.choice(heavy, 60), rng.integers(1, 1 << 62, 20, dtype=np.uint64)])
+    first = np.array([0, 30, 30, 80])
+    observed, expected = np.zeros_like(m.table), np.zeros_like(m.table)
+    lm.gradient(m, h, first, observed, expected)
+    f, klass = lm.features(h, first), m.look_up(h)[0]
+    want_o, want_e = np.zeros(m.table.shape), np.zeros(m.table.shape)
+    for k in range(len(h)):
+        z = m.bias + sum(m.table[f[i, k]] for i in range(lm.FEATURES))
+        p = np.exp(z) / np.exp(z).sum()
+        for i in range(lm.FEATURES):
+            want_o[f[i, k], klass[k]] += 1
+            want_e[f[i, k]] += p
+    assert np.array_equal(observed, want_o) and np.allclose(expected, want_e, atol=1e-4)
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    got = lm.query(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got["s"] / got["n"] > got["b"] / got["n"] + 0.3
 
 
 def test_url_filters(spark):

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _CHUNK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xD1342543DE82EF95)

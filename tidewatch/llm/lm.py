@@ -19,46 +19,58 @@ text is in exactly one step's batch.  A task sums observed minus expected
 feature counts over its texts in numpy, blocks of the table are summed in
 streaming tasks, the step is scaled by the expected counts.
 
-Scale: counts are combined per slice before the shuffle.  Shipped to tasks are
-the weight table (``BUCKETS`` x ``CLASSES``) and at most ``HEAVY`` frequent
-tokens, both bounded by parameters; the counts of all other tokens join by a
-shuffle, so the vocabulary may be of any size.
+Pair counts: a slice of texts asks once for each distinct key it holds - the pair
+(u, t), the class pair (u, c), a token that is not a frequent one - and says how
+often its training texts hold it.  Keys travel sorted and packed, one row per
+slice and shard of the key space; a shard adds up and answers each row in its
+order; the answers meet the slice's texts again.  So the pair table is never held
+whole anywhere, and grows with the corpus.
+
+Scale: shipped to tasks are the weight table (``BUCKETS`` x ``CLASSES``) and at
+most ``HEAVY`` frequent tokens, both bounded by parameters.  Gradient sums are as
+large as the table, so a task sums ``TASK_TOKENS`` tokens at least, however finely
+the input is dealt; shuffles then follow the tokens, not the partitions.  Shards
+hold ``SHARD_KEYS`` tokens' keys on average; the more there are, the shorter the
+rows, down to a key each.
 
 Defined results: a null text is empty and scores as its end token alone; a null
 doc_id counts as training; without training texts every token is unknown;
-repeated rows repeat.  Tokens are compared by 64-bit hashes.
+repeated rows repeat; an empty table gives no rows; no other column is read.
+Tokens and pairs are compared by hashes, tokens by 64 bits, pairs by 22 bits more
+than their number needs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import _text
-from ._spark import annotate, table
+from ._spark import drop, table
 
 HEAVY = 1 << 19
-CLASSES = 32
-TAIL = 7
+CLASSES = 16
+TAIL = 3
 BUCKETS = 1 << 15
 ROUNDS = 4
 STEP = 1.5
+TASK_TOKENS = 1 << 21
+SHARD_KEYS = 1 << 20
 FEATURES = 4
 PRIOR = 8.0
-SLICE = 8 << 20
+SLICE = 4 << 20
 _END = np.uint64(0x5AFE_C0DE_0000_0001)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _RUN = 1 << 15  # tokens whose class scores are held at once
 _BLOCK = 512  # buckets of a block of the table
 
-PART = StructType([StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("counts", DoubleType()), StructField("rest", DoubleType()), StructField("tail", ArrayType(StructType([StructField("token", LongType()), StructField("n", IntegerType())]))), StructField("pairs", ArrayType(StructType([StructField("pair", LongType()), StructField("held", LongType()), StructField("n", IntegerType())])))])
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -90,6 +102,7 @@ class Model:
 
     def __init__(self, total: int, distinct: int, heavy: np.ndarray, count: np.ndarray, tail_mass: np.ndarray):
         self.total, self.distinct = total, distinct
+        self.key_bits = min(64, (3 * total).bit_length() + 22)
         order = np.argsort(heavy)
         self.heavy, self.count = heavy[order], count[order]
         # classes: the end token's own, the heavy ones by falling count and equal mass, the tail ones by hash
@@ -189,7 +202,8 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
         for i, x in held.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "sums": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary")
+    tasks = max(1, -(-model.total // (ROUNDS * TASK_TOKENS)))
+    sums = docs.select(F.col("text").cast("string").alias("text")).coalesce(tasks).mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary")
     table_ = model.table.copy()
     for r in sums.toLocalIterator():  # BUCKETS / _BLOCK rows of fixed size
         both = np.frombuffer(bytes(r["sums"]), np.float32).reshape(2, -1, CLASSES)
@@ -198,8 +212,8 @@ def step(docs: DataFrame, model: Model) -> np.ndarray:
     return table_
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
-    """Model, the table of token counts, and the pair weights from all texts of ``docs`` that are not held out."""
+def train(docs: DataFrame) -> Model:
+    """Classes and weights from all texts of ``docs`` that are not held out."""
     learn = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     counts = table(token_counts(learn))
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -219,97 +233,121 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     turn = F.coalesce(F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 7), F.lit(ROUNDS)), F.lit(0))
     for r in range(ROUNDS):
         model.table = step(learn.filter(turn == r), model)
-    return model, counts, *pair_weights(learn, counts, model)
+    drop(counts)
+    return model
+
+
+class Keys:
+    """The keys of a slice's tokens: distinct ones, sorted, and where each token finds its pair, class pair and, if not frequent, itself."""
+
+    def __init__(self, m: Model, h: np.ndarray, first: np.ndarray):
+        self.klass, self.count = m.look_up(h)
+        back = np.zeros(len(h), np.uint64)
+        back[1:] = h[:-1]
+        back[first[:-1]] = 0
+        back = _text.mix(back * _SALTS[0] + _SALTS[1])
+        self.rare = np.flatnonzero(self.count < 0)
+        pair = _text.mix(back ^ (h * _SALTS[2]))
+        group = _text.mix(back ^ ((self.klass.astype(np.uint64) + np.uint64(1)) * _SALTS[3]))
+        every = np.concatenate([pair, group, _text.mix(h[self.rare] ^ _SALTS[3])]) >> np.uint64(64 - m.key_bits)
+        self.keys, self.at = np.unique(every, return_inverse=True)
+        self.bits = m.key_bits
+
+    def counted(self, learn: np.ndarray) -> np.ndarray:
+        """How often the tokens marked in ``learn`` hold each key."""
+        return np.bincount(self.at, weights=np.concatenate([learn, learn, learn[self.rare]]), minlength=len(self.keys)).astype(np.uint64)
+
+    def shards(self, n: int) -> np.ndarray:
+        """Where each of ``n`` shards, equal parts of the key space, begins among the keys."""
+        return np.searchsorted(self.keys, np.array([-(-(i << self.bits) // n) for i in range(n)] + [1 << self.bits], dtype=object).clip(max=(1 << 64) - 1).astype(np.uint64))
+
 
+def pack(a: np.ndarray) -> bytes:
+    """Numbers by byte planes: the high ones, mostly zero, take no room once compressed."""
+    return np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def pair_keys(m: Model, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of (previous word, token) and (previous word, class), class, and frequent count (else -1) of each token."""
-    klass, count = m.look_up(h)
-    back = np.zeros(len(h), np.uint64)
-    back[1:] = h[:-1]
-    back[first[:-1]] = 0
-    back = _text.mix(back * _SALTS[0] + _SALTS[1])
-    of = lambda x: _text.mix(back ^ x).view(np.int64)
-    return of(h * _SALTS[2]), of((klass.astype(np.uint64) + np.uint64(1)) * _SALTS[3]), klass, count
 
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-def pair_weights(learn: DataFrame, counts: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Log10 factors on the share of a token: (pair, w) where the pair was counted, (held, b) where only its class was."""
-    shipped = learn.sparkSession.sparkContext.broadcast(model)
+
+def ask(docs: DataFrame, model: Model, shards: int) -> DataFrame:
+    """Table of slices: one row with the texts, and one per shard with the keys and the training texts' counts of them."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held"))
+    schema = StructType([StructField("slice", StringType()), StructField("shard", IntegerType()), StructField("keys", BinaryType()), StructField("counts", BinaryType()), StructField("ids", ArrayType(rows.schema["doc_id"].dataType)), StructField("texts", ArrayType(StringType()))])
+    types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
         for b in batches:
             for part in _text.slices(b, "text", SLICE):
-                m = shipped.value
-                h, first = tokens(*_text.flat(part.column(0)))
-                pair, held, klass, count = pair_keys(m, h, first)
-                pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-                known = count[at] >= 0
-                mass = 10 ** m.log_mass[klass[at]]
-                rare = pa.array(h[at].view(np.int64), mask=known)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(held[at]), rare, pa.array(np.where(known, mass / (count[at] + 1.0), mass)), pa.array(n.astype(np.int64))], names=["pair", "held", "rare", "mass", "n"])
-
-    met = learn.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, held long, rare long, mass double, n long")
-    pairs = table(met.groupBy("pair").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("held", "rare", "mass")]))
-    held = table(pairs.groupBy("held").agg((-F.log10(1 + F.sum("n") / PRIOR)).alias("b")))
-    tail = pairs.filter("rare IS NOT NULL").join(counts.filter("NOT heavy").select(F.col("token").alias("rare"), F.col("n").alias("c")), "rare").withColumn("mass", F.col("mass") / (F.col("c") + 1))
-    every = pairs.filter("rare IS NULL").select("pair", "held", "n", "mass").unionByName(tail.select("pair", "held", "n", "mass"))
-    return every.join(held, "held").select("pair", (F.log10(1 + F.col("n") * F.col("mass") / PRIOR) + F.col("b")).alias("w")), held
-
-
-def score_slice(m: Model, data: np.ndarray, offs: np.ndarray) -> dict:
-    h, first = tokens(data, offs)
-    n = len(offs) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    klass, count = m.look_up(h)
-    value = -m.log_mass[klass]
+                name, texts = uuid.uuid4().hex, part.column(1).fill_null("")
+                h, first = tokens(*_text.flat(texts))
+                keys = Keys(m, h, first)
+                learn = np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+                n, cuts = keys.counted(learn), keys.shards(shards)
+                live = np.flatnonzero(np.diff(cuts))
+                packed = [(pack(np.diff(keys.keys[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))), pack(n[cuts[i] : cuts[i + 1]])) for i in live]
+                whole = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), whole(part.column(0)).cast(types.field(4).type), whole(texts).cast(types.field(5).type)], schema=types)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(live), pa.string()), pa.array(live.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary()), pa.nulls(len(live), types.field(4).type), pa.nulls(len(live), types.field(5).type)], schema=types)
+
+    return table(rows.mapInArrow(run, schema))
+
+
+def answer(shard: pa.Table) -> pa.Table:
+    """A shard's rows with the counts of their keys over all of them."""
+    keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in shard["keys"].to_pylist()]
+    counts = [unpack(c) for c in shard["counts"].to_pylist()]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.uint64)[at]
+    ends = np.cumsum([len(k) for k in keys])
+    return pa.table({"slice": shard["slice"], "shard": shard["shard"], "totals": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary())})
+
+
+def token_logs(m: Model, h: np.ndarray, first: np.ndarray, total: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each token, and log10 of its probability after its history."""
+    n = len(h)
+    count = keys.count.astype(np.float64)
+    count[keys.rare] = total[keys.at[2 * n :]]
+    share = (count + 1) / 10 ** m.log_mass[keys.klass]
+    logs = np.log10((total[keys.at[:n]] + PRIOR * share) / (total[keys.at[n : 2 * n]] + PRIOR))
     f = features(h, first)
-    for a in range(0, len(h), _RUN):
+    for a in range(0, n, _RUN):
         got = class_logits(m, f[:, a : a + _RUN])
-        value[a : a + _RUN] += got[np.arange(len(got)), klass[a : a + _RUN]] / np.log(10)
-    heavy = count >= 0
-    logs = np.log10(np.where(heavy, count, 0) + 1.0)
-    out = {"n_tokens": np.diff(first), "known": np.bincount(row[heavy], minlength=n), "counts": np.bincount(row, weights=logs, minlength=n), "rest": np.bincount(row, weights=value, minlength=n)}
-    at = np.flatnonzero(~heavy)
-    order = at[np.lexsort((h[at], row[at]))]
-    rows, toks = row[order], h[order]
-    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (toks[1:] != toks[:-1])]) if len(order) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    times = np.diff(np.append(head, len(order)))
-    struct = pa.StructArray.from_arrays([pa.array(toks[head].view(np.int64)), pa.array(times.astype(np.int32))], fields=[pa.field("token", pa.int64()), pa.field("n", pa.int32())])
-    pair, held, _, _ = pair_keys(m, h, first)
-    order = np.lexsort((pair, row))
-    rows_, pair, held = row[order], pair[order], held[order]
-    start = np.flatnonzero(np.concatenate([[True], (rows_[1:] != rows_[:-1]) | (pair[1:] != pair[:-1])])) if len(h) else np.zeros(0, np.int64)
-    met = pa.StructArray.from_arrays([pa.array(pair[start]), pa.array(held[start]), pa.array(np.diff(np.append(start, len(h))).astype(np.int32))], fields=[pa.field("pair", pa.int64()), pa.field("held", pa.int64()), pa.field("n", pa.int32())])
-    out["pairs"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows_[start], np.arange(n + 1)).astype(np.int32)), met)
-    out["tail"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[head], np.arange(n + 1)).astype(np.int32)), struct)
-    return out
+        logs[a : a + _RUN] += got[np.arange(len(got)), keys.klass[a : a + _RUN]] / np.log(10)
+    return count, logs
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, weights: DataFrame, held: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``; pairs are counted on the way."""
+    shards = max(1, -(-model.total // SHARD_KEYS))
+    asked = ask(docs, model, shards)
+    answered = asked.filter("shard IS NOT NULL").select("slice", "shard", "keys", "counts").groupBy("shard").applyInArrow(answer, "slice string, shard int, totals binary")
+    back = answered.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("totals")).select("slice", F.col("totals.totals").alias("totals"))
+    met = asked.filter("shard IS NULL").select("slice", "ids", "texts").join(back, "slice").select("ids", "texts", "totals")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
+    types = to_arrow_schema(schema)
 
-    def kernel():
-        return lambda part: score_slice(shipped.value, *_text.flat(part.column(0)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, texts, totals = b.column(0)[i].values, b.column(1)[i].values, b.column(2)[i].as_py()
+                h, first = tokens(*_text.flat(texts))
+                keys = Keys(m, h, first)
+                count, logs = token_logs(m, h, first, np.concatenate([unpack(t) for t in totals]).astype(np.float64), keys)
+                row = np.repeat(np.arange(len(ids)), np.diff(first))
+                add = lambda w: np.bincount(row, weights=w, minlength=len(ids))  # noqa: B023, E731
+                base = add(np.log10((count + 1) / (m.total + m.distinct + 1)))
+                yield pa.RecordBatch.from_arrays([ids.cast(types.field(0).type), pa.array(np.diff(first)), pa.array(add(count > 0).astype(np.int64)), pa.array(base), pa.array(add(logs))], schema=types)
 
-    df, s = annotate(docs, kernel, PART, keep=["doc_id"])
-    parts = table(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", f"{s}.*"))
-    tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.token", F.col("t.n").alias("times"))
-    rare = counts.filter("NOT heavy").select("token", F.col("n").alias("c"))
-    met = tail.join(rare, "token").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    pairs = parts.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.held", F.col("p.n").alias("times")).join(weights, "pair", "left")
-    seen = pairs.filter("w IS NOT NULL").select("row", F.col("times") * F.col("w"))
-    unseen = pairs.filter("w IS NULL").join(held, "held").select("row", F.col("times") * F.col("b"))
-    moved = seen.union(unseen).toDF("row", "moved").groupBy("row").agg(F.sum("moved").alias("moved"))
-    full = parts.drop("tail", "pairs").join(met, "row", "left").join(moved, "row", "left").withColumns({"moved": F.coalesce("moved", F.lit(0.0)), "more": F.coalesce("more", F.lit(0.0)), "more_known": F.coalesce("more_known", F.lit(0))})
-    found = F.col("counts") + F.col("more")
-    whole = float(np.log10(model.total + model.distinct + 1))
-    return full.select("doc_id", "n_tokens", (F.col("known") + F.col("more_known")).cast("long").alias("n_known"), (found - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (found + F.col("rest") + F.col("moved")).alias("score"))
+    return met.mapInArrow(run, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    model, counts, weights, held = train(docs)
-    got = score(docs, model, counts, weights, held)
+    model = train(docs)
+    got = score(docs, model)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
