@@ -21,9 +21,9 @@ streaming tasks, the step is scaled by the expected counts.
 
 Pair counts: a slice of texts asks once for each distinct key it holds - the pair
 (u, t), the class pair (u, c), a token that is not a frequent one - and says how
-often its training texts hold it.  Keys travel sorted and packed, one row per
-slice and shard of the key space; a shard adds up and answers each row in its
-order; the answers meet the slice's texts again.  So the pair table is never held
+often its training texts hold it.  Keys travel sorted, as compressed gaps, one row
+per slice and shard of the key space; a shard adds up and answers each row in its
+order; the answers meet the slice's texts, compressed as well, again.  So the pair table is never held
 whole anywhere, and grows with the corpus.
 
 Scale: shipped to tasks are the weight table (``BUCKETS`` x ``CLASSES``) and at
@@ -36,8 +36,8 @@ rows, down to a key each.
 Defined results: a null text is empty and scores as its end token alone; a null
 doc_id counts as training; without training texts every token is unknown;
 repeated rows repeat; an empty table gives no rows; no other column is read.
-Tokens and pairs are compared by hashes, tokens by 64 bits, pairs by 22 bits more
-than their number needs.
+Tokens are compared by 64-bit hashes; pairs are hashed features, of ``SPARE_BITS``
+more than their number needs, so one in a thousand shares its count with another.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import _text
 from ._spark import drop, table
@@ -63,6 +63,7 @@ ROUNDS = 4
 STEP = 1.5
 TASK_TOKENS = 1 << 21
 SHARD_KEYS = 1 << 20
+SPARE_BITS = 10
 FEATURES = 4
 PRIOR = 8.0
 SLICE = 4 << 20
@@ -102,7 +103,7 @@ class Model:
 
     def __init__(self, total: int, distinct: int, heavy: np.ndarray, count: np.ndarray, tail_mass: np.ndarray):
         self.total, self.distinct = total, distinct
-        self.key_bits = min(64, (3 * total).bit_length() + 22)
+        self.key_bits = min(63, (2 * total).bit_length() + SPARE_BITS)
         order = np.argsort(heavy)
         self.heavy, self.count = heavy[order], count[order]
         # classes: the end token's own, the heavy ones by falling count and equal mass, the tail ones by hash
@@ -238,7 +239,7 @@ def train(docs: DataFrame) -> Model:
 
 
 class Keys:
-    """The keys of a slice's tokens: distinct ones, sorted, and where each token finds its pair, class pair and, if not frequent, itself."""
+    """The distinct keys of a slice's tokens, sorted - hashed pairs and class pairs, and tokens that are not frequent - and where each token finds its own."""
 
     def __init__(self, m: Model, h: np.ndarray, first: np.ndarray):
         self.klass, self.count = m.look_up(h)
@@ -246,75 +247,100 @@ class Keys:
         back[1:] = h[:-1]
         back[first[:-1]] = 0
         back = _text.mix(back * _SALTS[0] + _SALTS[1])
-        self.rare = np.flatnonzero(self.count < 0)
         pair = _text.mix(back ^ (h * _SALTS[2]))
         group = _text.mix(back ^ ((self.klass.astype(np.uint64) + np.uint64(1)) * _SALTS[3]))
-        every = np.concatenate([pair, group, _text.mix(h[self.rare] ^ _SALTS[3])]) >> np.uint64(64 - m.key_bits)
-        self.keys, self.at = np.unique(every, return_inverse=True)
         self.bits = m.key_bits
+        self.rare = np.flatnonzero(self.count < 0)
+        self.pairs, at = np.unique(np.concatenate([pair, group]) >> np.uint64(64 - self.bits), return_inverse=True)
+        self.pair, self.group = at[: len(h)], at[len(h) :]
+        self.tokens, self.token = np.unique(h[self.rare], return_inverse=True)
 
-    def counted(self, learn: np.ndarray) -> np.ndarray:
-        """How often the tokens marked in ``learn`` hold each key."""
-        return np.bincount(self.at, weights=np.concatenate([learn, learn, learn[self.rare]]), minlength=len(self.keys)).astype(np.uint64)
+    def counted(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the tokens marked in ``learn`` hold each pair key, and each token key."""
+        pairs = np.bincount(self.pair, weights=learn, minlength=len(self.pairs)) + np.bincount(self.group, weights=learn, minlength=len(self.pairs))
+        return pairs, np.bincount(self.token, weights=learn[self.rare], minlength=len(self.tokens))
 
-    def shards(self, n: int) -> np.ndarray:
-        """Where each of ``n`` shards, equal parts of the key space, begins among the keys."""
-        return np.searchsorted(self.keys, np.array([-(-(i << self.bits) // n) for i in range(n)] + [1 << self.bits], dtype=object).clip(max=(1 << 64) - 1).astype(np.uint64))
+    def cuts(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each shard, an equal part of either key space, begins and ends among the keys."""
+        at = lambda keys, bits: np.searchsorted(keys, np.array([-(-(i << bits) // shards) for i in range(shards)], np.uint64)).tolist() + [len(keys)]
+        return at(self.pairs, self.bits), at(self.tokens, 64)
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Numbers by byte planes: the high ones, mostly zero, take no room once compressed."""
-    return np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as compressed byte planes: the high ones are mostly zero."""
+    return pa.compress(np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) if len(a) else b""
+
 
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 8 * n, "zstd"), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+#: What a slice asks of a shard: how many pair and token keys, their gaps, and the training texts' counts of them.
+ASKED = "slice string, shard int, n_pairs int, n_tokens int, pairs binary, tokens binary, counts binary"
 
 
 def ask(docs: DataFrame, model: Model, shards: int) -> DataFrame:
-    """Table of slices: one row with the texts, and one per shard with the keys and the training texts' counts of them."""
+    """Table of slices: a row with the compressed ids and texts (no shard), and one for each shard that is asked."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held"))
-    schema = StructType([StructField("slice", StringType()), StructField("shard", IntegerType()), StructField("keys", BinaryType()), StructField("counts", BinaryType()), StructField("ids", ArrayType(rows.schema["doc_id"].dataType)), StructField("texts", ArrayType(StringType()))])
-    types = to_arrow_schema(schema)
+    names = ["slice", "shard", "n_pairs", "n_tokens", "pairs", "tokens", "counts", "texts"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
             for part in _text.slices(b, "text", SLICE):
-                name, texts = uuid.uuid4().hex, part.column(1).fill_null("")
-                h, first = tokens(*_text.flat(texts))
+                name = uuid.uuid4().hex
+                h, first = tokens(*_text.flat(part.column(1)))
                 keys = Keys(m, h, first)
-                learn = np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-                n, cuts = keys.counted(learn), keys.shards(shards)
-                live = np.flatnonzero(np.diff(cuts))
-                packed = [(pack(np.diff(keys.keys[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))), pack(n[cuts[i] : cuts[i + 1]])) for i in live]
-                whole = lambda col: pa.ListArray.from_arrays(pa.array([0, len(col)], pa.int32()), col)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), whole(part.column(0)).cast(types.field(4).type), whole(texts).cast(types.field(5).type)], schema=types)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(live), pa.string()), pa.array(live.astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary()), pa.nulls(len(live), types.field(4).type), pa.nulls(len(live), types.field(5).type)], schema=types)
+                n_pairs, n_tokens = keys.counted(np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first)))
+                out = [(name, None, None, None, None, None, None, shelve(part.select(["doc_id", "text"])))]
+                p, t = keys.cuts(shards)
+                for i in range(shards):
+                    if p[i] < p[i + 1] or t[i] < t[i + 1]:
+                        x, y = slice(p[i], p[i + 1]), slice(t[i], t[i + 1])
+                        gaps = (pack(np.diff(k, prepend=np.uint64(0))) for k in (keys.pairs[x], keys.tokens[y]))
+                        out.append((name, i, p[i + 1] - p[i], t[i + 1] - t[i], *gaps, pack(np.concatenate([n_pairs[x], n_tokens[y]])), None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return table(rows.mapInArrow(run, ASKED + ", texts binary"))
+
 
-    return table(rows.mapInArrow(run, schema))
+def shelve(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def totals(n: list[int], gaps: list[bytes], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each asker's keys their counts over all askers."""
+    keys = [np.cumsum(unpack(g, k), dtype=np.uint64) for g, k in zip(gaps, n, strict=True)]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every = np.bincount(at, weights=np.concatenate(counts), minlength=1)[at]
+    return np.split(every, np.cumsum(n)[:-1])
 
 
 def answer(shard: pa.Table) -> pa.Table:
     """A shard's rows with the counts of their keys over all of them."""
-    keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in shard["keys"].to_pylist()]
-    counts = [unpack(c) for c in shard["counts"].to_pylist()]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.uint64)[at]
-    ends = np.cumsum([len(k) for k in keys])
-    return pa.table({"slice": shard["slice"], "shard": shard["shard"], "totals": pa.array([pack(t) for t in np.split(total, ends[:-1])], pa.binary())})
+    p, t = shard["n_pairs"].to_pylist(), shard["n_tokens"].to_pylist()
+    counts = [unpack(c, a + b) for c, a, b in zip(shard["counts"].to_pylist(), p, t, strict=True)]
+    of_pairs = totals(p, shard["pairs"].to_pylist(), [c[:a] for c, a in zip(counts, p, strict=True)])
+    of_tokens = totals(t, shard["tokens"].to_pylist(), [c[a:] for c, a in zip(counts, p, strict=True)])
+    packed = [[pack(x) for x in xs] for xs in (of_pairs, of_tokens)]
+    return pa.table({"slice": shard["slice"], "shard": shard["shard"], "n_pairs": shard["n_pairs"], "n_tokens": shard["n_tokens"], "pairs": pa.array(packed[0], pa.binary()), "tokens": pa.array(packed[1], pa.binary())})
 
 
-def token_logs(m: Model, h: np.ndarray, first: np.ndarray, total: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+def token_logs(m: Model, h: np.ndarray, first: np.ndarray, keys: Keys, pairs: np.ndarray, tokens_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Count of each token, and log10 of its probability after its history."""
-    n = len(h)
     count = keys.count.astype(np.float64)
-    count[keys.rare] = total[keys.at[2 * n :]]
+    count[keys.rare] = tokens_[keys.token]
     share = (count + 1) / 10 ** m.log_mass[keys.klass]
-    logs = np.log10((total[keys.at[:n]] + PRIOR * share) / (total[keys.at[n : 2 * n]] + PRIOR))
+    logs = np.log10((pairs[keys.pair] + PRIOR * share) / (pairs[keys.group] + PRIOR))
     f = features(h, first)
-    for a in range(0, n, _RUN):
+    for a in range(0, len(h), _RUN):
         got = class_logits(m, f[:, a : a + _RUN])
         logs[a : a + _RUN] += got[np.arange(len(got)), keys.klass[a : a + _RUN]] / np.log(10)
     return count, logs
@@ -322,27 +348,28 @@ def token_logs(m: Model, h: np.ndarray, first: np.ndarray, total: np.ndarray, ke
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``; pairs are counted on the way."""
-    shards = max(1, -(-model.total // SHARD_KEYS))
-    asked = ask(docs, model, shards)
-    answered = asked.filter("shard IS NOT NULL").select("slice", "shard", "keys", "counts").groupBy("shard").applyInArrow(answer, "slice string, shard int, totals binary")
-    back = answered.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("totals")).select("slice", F.col("totals.totals").alias("totals"))
-    met = asked.filter("shard IS NULL").select("slice", "ids", "texts").join(back, "slice").select("ids", "texts", "totals")
+    asked = ask(docs, model, max(1, -(-model.total // SHARD_KEYS)))
+    answered = asked.filter("shard IS NOT NULL").drop("texts").groupBy("shard").applyInArrow(answer, "slice string, shard int, n_pairs int, n_tokens int, pairs binary, tokens binary")
+    back = answered.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "n_pairs", "n_tokens", "pairs", "tokens"))).alias("told"))
+    met = asked.filter("shard IS NULL").select("slice", "texts").join(back, "slice").select("texts", "told")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
-    types = to_arrow_schema(schema)
+    id_type = to_arrow_schema(schema).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
             for i in range(b.num_rows):
-                ids, texts, totals = b.column(0)[i].values, b.column(1)[i].values, b.column(2)[i].as_py()
-                h, first = tokens(*_text.flat(texts))
+                told = b.column(1)[i].as_py()
+                part = pa.ipc.open_stream(b.column(0)[i].as_buffer()).read_next_batch()
+                h, first = tokens(*_text.flat(part.column(1)))
                 keys = Keys(m, h, first)
-                count, logs = token_logs(m, h, first, np.concatenate([unpack(t) for t in totals]).astype(np.float64), keys)
-                row = np.repeat(np.arange(len(ids)), np.diff(first))
-                add = lambda w: np.bincount(row, weights=w, minlength=len(ids))  # noqa: B023, E731
-                base = add(np.log10((count + 1) / (m.total + m.distinct + 1)))
-                yield pa.RecordBatch.from_arrays([ids.cast(types.field(0).type), pa.array(np.diff(first)), pa.array(add(count > 0).astype(np.int64)), pa.array(base), pa.array(add(logs))], schema=types)
+                pairs, some = (np.concatenate([unpack(x[name], x[f"n_{name}"]) for x in told]).astype(np.float64) for name in ("pairs", "tokens"))
+                count, logs = token_logs(m, h, first, keys, pairs, some)
+                n = part.num_rows
+                row = np.repeat(np.arange(n), np.diff(first))
+                sums = [np.bincount(row, weights=w, minlength=n) for w in (count > 0, np.log10((count + 1) / (m.total + m.distinct + 1)), logs)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(id_type), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=pa.schema(list(to_arrow_schema(schema))))
 
     return met.mapInArrow(run, schema)
 
