@@ -281,31 +281,45 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
 ASKED = "slice string, shard int, n_pairs int, n_tokens int, pairs binary, tokens binary, counts binary"
 
 
-def ask(docs: DataFrame, model: Model, shards: int) -> DataFrame:
-    """Table of slices: a row with the compressed ids and texts (no shard), and one for each shard that is asked."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def shelves(docs: DataFrame) -> DataFrame:
+    """Table of slices of whole rows: a name, and the compressed ids, texts and whether they are held out."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held"))
-    names = ["slice", "shard", "n_pairs", "n_tokens", "pairs", "tokens", "counts", "texts"]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
         for b in batches:
             for part in _text.slices(b, "text", SLICE):
-                name = uuid.uuid4().hex
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([shelve(part)])], names=["slice", "texts"])
+
+    return table(rows.mapInArrow(run, "slice string, texts binary"))
+
+
+def ask(shelved: DataFrame, model: Model, shards: int) -> DataFrame:
+    """The rows ``ASKED`` of all slices."""
+    shipped = shelved.sparkSession.sparkContext.broadcast(model)
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = unshelve(raw)
                 h, first = tokens(*_text.flat(part.column(1)))
                 keys = Keys(m, h, first)
                 n_pairs, n_tokens = keys.counted(np.repeat(~part.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first)))
-                out = [(name, None, None, None, None, None, None, shelve(part.select(["doc_id", "text"])))]
                 p, t = keys.cuts(shards)
+                out = []
                 for i in range(shards):
                     if p[i] < p[i + 1] or t[i] < t[i + 1]:
                         x, y = slice(p[i], p[i + 1]), slice(t[i], t[i + 1])
                         gaps = (pack(np.diff(k, prepend=np.uint64(0))) for k in (keys.pairs[x], keys.tokens[y]))
-                        out.append((name, i, p[i + 1] - p[i], t[i + 1] - t[i], *gaps, pack(np.concatenate([n_pairs[x], n_tokens[y]])), None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                        out.append((name, i, p[i + 1] - p[i], t[i + 1] - t[i], *gaps, pack(np.concatenate([n_pairs[x], n_tokens[y]]))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["slice", "shard", "n_pairs", "n_tokens", "pairs", "tokens", "counts"])
+
+    return shelved.mapInArrow(run, ASKED)
+
 
-    return table(rows.mapInArrow(run, ASKED + ", texts binary"))
+def unshelve(raw: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
 
 
 def shelve(part: pa.RecordBatch) -> bytes:
@@ -348,10 +362,10 @@ def token_logs(m: Model, h: np.ndarray, first: np.ndarray, keys: Keys, pairs: np
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of ``docs``; pairs are counted on the way."""
-    asked = ask(docs, model, max(1, -(-model.total // SHARD_KEYS)))
-    answered = asked.filter("shard IS NOT NULL").drop("texts").groupBy("shard").applyInArrow(answer, "slice string, shard int, n_pairs int, n_tokens int, pairs binary, tokens binary")
+    shelved = shelves(docs)
+    answered = ask(shelved, model, max(1, -(-model.total // SHARD_KEYS))).groupBy("shard").applyInArrow(answer, "slice string, shard int, n_pairs int, n_tokens int, pairs binary, tokens binary")
     back = answered.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("shard", "n_pairs", "n_tokens", "pairs", "tokens"))).alias("told"))
-    met = asked.filter("shard IS NULL").select("slice", "texts").join(back, "slice").select("texts", "told")
+    met = shelved.join(back, "slice").select("texts", "told")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
     id_type = to_arrow_schema(schema).field(0).type
@@ -361,7 +375,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 told = b.column(1)[i].as_py()
-                part = pa.ipc.open_stream(b.column(0)[i].as_buffer()).read_next_batch()
+                part = unshelve(b.column(0)[i])
                 h, first = tokens(*_text.flat(part.column(1)))
                 keys = Keys(m, h, first)
                 pairs, some = (np.concatenate([unpack(x[name], x[f"n_{name}"]) for x in told]).astype(np.float64) for name in ("pairs", "tokens"))
