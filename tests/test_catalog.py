@@ -37,10 +37,10 @@ def test_same_as_sql(spark, con, name):
 def test_whole_queries_drop_no_user(spark, con):
     """Every user's official evidence counts, and every user has a change class."""
     n = con.execute("select count(distinct user_id) from events").fetchone()[0]
-    assert catalog.QUERIES["q_cdc_classify_whole"](spark, DIR).groupBy().sum("n").first()[0] == n
-    assert "user_id %" not in catalog.ORACLE["q_role_resolution_whole"] + catalog.ORACLE["q_cdc_classify_whole"]
+    assert catalog.QUERIES["q_cdc_classify"](spark, DIR).groupBy().sum("n").first()[0] == n
+    assert "user_id %" not in catalog.ORACLE["q_role_resolution"] + catalog.ORACLE["q_cdc_classify"]
     official = {r[0] for r in con.execute("select user_id from events where event_type <> 'error' and event_id % 10 > 0 and ts < date '2024-01-26'").fetchall()}
-    got = {r["user_id"]: r["status"] for r in catalog.QUERIES["q_role_resolution_whole"](spark, DIR).collect()}
+    got = {r["user_id"]: r["status"] for r in catalog.QUERIES["q_role_resolution"](spark, DIR).collect()}
     assert official <= set(got) and not any(got[u] == "PROBABLY_CURRENT" for u in official)
 
 

@@ -1,11 +1,13 @@
 """Text normalisers and lexicon matching as Columns (inside code generation).
 
 The Column forms are exact for precomposed Latin-1 text, which is folded by a
-translation table; ``fold_general`` handles all of Unicode in an Arrow UDF.
+translation table; ``normalize_exact`` and ``folder`` handle all of Unicode in an
+Arrow UDF.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,15 +31,40 @@ def fold_text(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def fold_general(texts: pd.Series) -> pd.Series:
-    """``fold_text`` for any script: compatibility forms decomposed, Arabic letters kept."""
+def normalize_exact(texts: pd.Series) -> pd.Series:
+    """``normalize_text`` for any script: compatibility forms composed (NFKC), full case folding, Unicode white space."""
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").casefold().split()))
 
-    def one(t: str | None) -> str:
-        t = unicodedata.normalize("NFKD", t or "").casefold().replace("œ", "oe")
-        kept = ("".join(c if c.isascii() and c.isalnum() or "؀" <= c <= "ۿ" else " ") for c in t if not unicodedata.combining(c))
-        return " ".join("".join(kept).split())
 
-    return texts.map(one)
+def folder(ligature: bool = False, arabic: bool = False, words: bool = False):
+    """An Arrow UDF like ``fold_text`` for any script: compatibility forms decomposed, marks dropped.
+
+    ``ligature``: a ligature oe is two letters; ``arabic``: Arabic letters stay; ``words``: letters and digits of
+    every script stay.
+    """
+    keep = re.compile(r"[^\w]+" if words else "[^a-z0-9\u0600-\u06ff]+" if arabic else "[^a-z0-9]+")
+
+    @F.pandas_udf(StringType())
+    def fold(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str:
+            t = unicodedata.normalize("NFKD", t or "").casefold()
+            t = t.replace("œ", "oe") if ligature else t
+            return " ".join(keep.sub(" ", "".join(c for c in t if not unicodedata.combining(c))).split())
+
+        return texts.map(one)
+
+    return fold
+
+
+fold_general = folder(ligature=True, arabic=True)
+
+
+def shortened(c: Column, most: int) -> Column:
+    """White space collapsed; a longer text is cut at the last word end that leaves room for an ellipsis."""
+    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    head = t.substr(1, most - 1)
+    cut = F.when(t.substr(most, 1) == " ", head).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"^(.*\S)\s", 1), F.lit("")), head))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.trim(cut), F.lit("…")))
 
 
 def lexicon_hits(folded: Column, terms: list[str]) -> Column:

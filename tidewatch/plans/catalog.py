@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import keyed
+from ..operators.identity import cut
 
 AS_OF = "2024-01-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,13 +36,41 @@ def query(sql: str | None = None):
     return add
 
 
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"
+
+
+def golden(given: str, out: list[str], cases: list[tuple[tuple, tuple]]):
+    """Register a rule over the orders, which carry the rows of ``cases`` in turn.
+
+    The function takes the given columns as a struct and returns the outcomes, read as text.  The SQL knows nothing of
+    the rule: it counts, per order, the outcome that each case says it must have.
+    """
+
+    def add(f):
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            rows = spark.createDataFrame([(i, *g) for i, (g, _) in enumerate(cases)], f"i int, {given}")
+            carried = spark.read.parquet(f"{d}/orders.parquet").select(F.pmod("o_orderkey", F.lit(len(cases))).cast("int").alias("i")).join(F.broadcast(rows), "i")
+            names = [x.split()[0] for x in given.split(", ")]
+            got = f(*[F.col(n) for n in names])
+            return carried.select("i", *[c.cast("string").alias(n) for n, c in zip(out, got, strict=True)]).groupBy("i", *out).agg(F.count("*").alias("n"))
+
+        QUERIES[f.__name__] = run
+        values = ", ".join("(" + ", ".join([str(i), *map(_literal, o)]) + ")" for i, (_, o) in enumerate(cases))
+        ORACLE[f.__name__] = f"WITH g(i, {', '.join(out)}) AS (VALUES {values}) SELECT g.i::INT AS i, {', '.join(f'{n}::VARCHAR AS {n}' for n in out)}, count(*) AS n FROM orders JOIN g ON g.i = o_orderkey % {len(cases)} GROUP BY ALL"
+        return f
+
+    return add
+
+
 @query(f"""WITH k AS (SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {NORM.format("text")} AS key FROM documents) GROUP BY key)
 SELECT d.doc_id, d.source, d.lang, (SELECT count(*) FROM k) AS total, l.quality AS review FROM k JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)
 ORDER BY (l.quality IS NULL) DESC, d.n_chars DESC, d.doc_id LIMIT 25""")
 def q_review_queue_page(t):
     """First page of the review queue: copies dropped, unreviewed first, longest first, with the total."""
-    docs = t("documents").select("doc_id", "source", "lang", "n_chars", text.normalize_text(F.col("text")).alias("key"))
+    docs = t("documents").select("doc_id", "source", "lang", "n_chars", F.unhex(F.md5(text.normalize_text(F.col("text")))).alias("key"))
     one = docs.groupBy("key").agg(F.min_by(F.struct("doc_id", "source", "lang", "n_chars"), "doc_id").alias("d")).select("d.*")
+    one = cut(one.sparkSession, one)  # narrow rows, read twice: for the page and for the total
     total = one.agg(F.count("*").alias("total"))
     page = one.join(t("labels").select("doc_id", F.col("quality").alias("review")), "doc_id", "left").orderBy(F.col("review").isNull().desc(), F.desc("n_chars"), "doc_id").limit(25)
     return page.join(F.broadcast(total)).select("doc_id", "source", "lang", "total", "review")
@@ -150,13 +179,19 @@ def q_topk_per_source(t):
 @query("""SELECT source, count(*) FILTER (run <= 200000) AS kept, count(*) FILTER (run > 200000) AS cut_, bool_or(run > 200000) AS truncated FROM (SELECT source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS run FROM documents) GROUP BY 1""")
 def q_candidate_cap(t):
     """Candidates of a source within a running budget of characters, and whether any was cut."""
-    run = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    return t("documents").select("source", run.alias("run")).groupBy("source").agg(F.count_if(F.expr("run <= 200000")).alias("kept"), F.count_if(F.expr("run > 200000")).alias("cut_"), F.bool_or(F.expr("run > 200000")).alias("truncated"))
+    docs = t("documents").select("source", "doc_id", "n_chars").withColumn("part", F.floor(F.col("doc_id") / 4096))
+    # a source may hold any share of the rows: sums of ranges of ids first, then rows within their range
+    ranges = docs.groupBy("source", "part").agg(F.sum("n_chars").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.sum("n_chars").over(Window.partitionBy("source", "part").orderBy("doc_id")) + F.col("before")
+    rows = docs.join(ranges.select("source", "part", before.alias("before")), ["source", "part"]).select("source", run.alias("run"))
+    return rows.groupBy("source").agg(F.count_if(F.expr("run <= 200000")).alias("kept"), F.count_if(F.expr("run > 200000")).alias("cut_"), F.bool_or(F.expr("run > 200000")).alias("truncated"))
 
 
-_HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:@]+)', 1)), '^www\.', '')"
-_CANON = rf"""CASE WHEN {_HOST} <> '' THEN 'https://' || {_HOST} || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') ||
- CASE WHEN regexp_replace(regexp_replace(regexp_extract(url, '\?([^#]*)', 1), '{urls.TRACKING}', '', 'g'), '^&', '') <> '' THEN '?' || regexp_replace(regexp_replace(regexp_extract(url, '\?([^#]*)', 1), '{urls.TRACKING}', '', 'g'), '^&', '') ELSE '' END END"""
+_HOST = r"lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+_PARTS = r"list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|fbclid|gclid|msclkid)(=|$)'))"
+_CANON = rf"""CASE WHEN regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') THEN regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_HOST} || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*?(:[0-9]+)?([/?#]|$)', 1) IN ('', ':80', ':443') THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*?(:[0-9]+)?([/?#]|$)', 1) END
+ || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/') || CASE WHEN len({_PARTS}) > 0 THEN '?' || array_to_string(list_transform({_PARTS}, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') ELSE '' END END"""
 
 
 @query(f"SELECT page_id, {_CANON} AS canonical, {_HOST} AS host FROM pages")
@@ -164,7 +199,7 @@ def q_canonical_url(t):
     return t("pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"))
 
 
-@query(f"""SELECT page_id, sha256('["v1", "url", "' || replace(replace(coalesce({_CANON}, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"]') AS digest FROM pages""")
+@query(f"""SELECT page_id, sha256('["v1", "url", ' || coalesce('"' || {_CANON} || '"', 'null') || ']') AS digest FROM pages""")
 def q_url_digest(t):
     return t("pages").select("page_id", urls.key_digest(F.lit("v1"), F.lit("url"), urls.canonical_url(F.col("url"))).alias("digest"))
 
@@ -236,16 +271,9 @@ def _classes(old: DataFrame, new: DataFrame) -> DataFrame:
     return keyed.classify(snap(old), snap(new), "user_id", "digest").groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH o AS ({_SNAP.format("WHERE ts < TIMESTAMP '2024-01-20'")}), n AS ({_SNAP.format("WHERE user_id % 7 <> 0")})
-SELECT CASE WHEN o.user_id IS NULL THEN 'NEW' WHEN n.user_id IS NULL THEN 'MISSING' WHEN o.digest = n.digest THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM o FULL JOIN n USING (user_id) GROUP BY 1""")
-def q_cdc_classify(t):
-    """Change classes between an earlier snapshot of the entities and a later one without every seventh entity, as in the SQL."""
-    return _classes(t("events").filter("ts < TIMESTAMP_NTZ '2024-01-20'"), t("events").filter("user_id % 7 <> 0"))
-
-
 @query(f"""WITH o AS ({_SNAP.format("WHERE ts < TIMESTAMP '2024-01-29'")}), n AS ({_SNAP.format("WHERE ts >= TIMESTAMP '2024-01-29'")})
 SELECT CASE WHEN o.user_id IS NULL THEN 'NEW' WHEN n.user_id IS NULL THEN 'MISSING' WHEN o.digest = n.digest THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM o FULL JOIN n USING (user_id) GROUP BY 1""")
-def q_cdc_classify_whole(t):
+def q_cdc_classify(t):
     """Change classes of all entities: the earlier snapshot is what was seen before a date, the later one what was seen from it on."""
     return _classes(t("events").filter("ts < TIMESTAMP_NTZ '2024-01-29'"), t("events").filter("ts >= TIMESTAMP_NTZ '2024-01-29'"))
 
@@ -300,11 +328,11 @@ def q_html_title(t):
     return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query(r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: length(x) >= 8))::BIGINT AS links FROM pages""")
+@query(r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: length(x) >= 18))::BIGINT AS links FROM pages""")
 def q_html_links(t):
     """Links of a page whose label is long enough."""
     labels = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
-    return t("pages").select("page_id", F.size(F.filter(labels, lambda x: F.length(x) >= 8)).cast("long").alias("links"))
+    return t("pages").select("page_id", F.size(F.filter(labels, lambda x: F.length(x) >= 18)).cast("long").alias("links"))
 
 
 @query("""SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS history FROM events GROUP BY 1""")

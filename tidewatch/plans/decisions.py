@@ -138,7 +138,6 @@ def q_feedback_score_whole(t):
     return _fed_back(t, lambda words: words)
 
 
-_HALF = " WHERE user_id % 2 = 0 OR event_type = 'error'"
 _SOURCE = "CASE event_type WHEN 'view' THEN 'GOVERNANCE' WHEN 'click' THEN 'APPOINTMENT' WHEN 'error' THEN 'PROFESSIONAL' ELSE 'OFFICIAL_RELEASE' END"
 
 
@@ -147,19 +146,13 @@ def _role_holders(events: DataFrame) -> DataFrame:
     return evidence.role_holder(e, ["user_id"], F.lit("2024-01-25").cast("date"))
 
 
-@query(f"""WITH e AS (SELECT user_id, 'p' || (event_id % 3) AS person, {_SOURCE} AS source, CASE WHEN event_id % 10 > 0 THEN ts::DATE END AS dated, value > 60 AS departed FROM events WHERE user_id % 2 = 0 OR event_type = 'error'),
+@query(f"""WITH e AS (SELECT user_id, 'p' || (event_id % 3) AS person, {_SOURCE} AS source, CASE WHEN event_id % 10 > 0 THEN ts::DATE END AS dated, value > 60 AS departed FROM events),
 r AS (SELECT *, (source = 'PROFESSIONAL')::INT AS u, CASE source WHEN 'GOVERNANCE' THEN 1 WHEN 'APPOINTMENT' THEN 3 WHEN 'OFFICIAL_RELEASE' THEN 4 ELSE 6 END AS k FROM e WHERE dated IS NULL OR dated <= DATE '2024-01-25'),
 b AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY u, dated DESC NULLS LAST, k) AS place FROM r),
 f AS (SELECT user_id, min(person) AS low, max(person) AS high, bool_or(departed) AS gone, min(dated) AS dated, max(u) AS u FROM b WHERE place = 1 GROUP BY 1),
 s AS (SELECT *, CASE WHEN gone OR date_diff('day', dated, DATE '2024-01-25') > 180 THEN 'OBSOLETE' WHEN low <> high THEN 'UNVERIFIED' WHEN u = 1 OR dated IS NULL THEN 'PROBABLY_CURRENT' ELSE 'VERIFIED_CURRENT' END AS status FROM f)
 SELECT user_id, CASE WHEN status <> 'UNVERIFIED' THEN low END AS person, status FROM s""")
 def q_role_resolution(t):
-    """Only even users have all their evidence here, as in the SQL; ``q_role_resolution_whole`` drops nothing."""
-    return _role_holders(t("events").filter("user_id % 2 = 0 OR event_type = 'error'"))
-
-
-@query(ORACLE["q_role_resolution"].replace(_HALF, ""))
-def q_role_resolution_whole(t):
     return _role_holders(t("events"))
 
 
@@ -241,7 +234,7 @@ def q_query_performance(t):
 @query(f"""WITH k AS (SELECT page_id, {_CANON} AS u, {FOLD.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS x FROM pages)
 SELECT page_id, min(page_id) OVER (PARTITION BY u) AS by_url, CASE WHEN length(x) >= 25 THEN min(page_id) OVER (PARTITION BY x) END AS by_title FROM k""")
 def q_identity_or_keys(t):
-    """The earliest page with the same address, and with the same long title: identity by either key, keys pre-aggregated."""
+    """The earliest page with the same address, and with the same long title: keys pre-aggregated, side by side."""
     k = t("pages").select("page_id", urls.canonical_url(F.col("url")).alias("u"), text.fold_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("x"))
     both = k.withColumn("u", F.coalesce("u", F.lit("")))
     first_u = both.groupBy("u").agg(F.min("page_id").alias("by_url"))
