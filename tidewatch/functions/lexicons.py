@@ -88,3 +88,56 @@ TITLE_ORDINARY = ["ecole", "lycee", "scolaire", "ofppt", "logement de fonction",
 TITLE_UNIVERSITY = ["universit", "campus", "ecole superieure", "enseignement superieur"]
 TITLE_MOSQUE = ["mosquee", "mosquees", "مسجد"]
 TITLE_PRIORITY = {"A_heritage_service": 1, "C_architectural_competition": 2, "D_major_architecture": 3, "incomplete_scope_requires_detail": 4, "arabic_scope_requires_detail": 4}
+
+# Instruments of policy: scope, what is not meant, types in order of precedence, citations that end an instrument's own words, status terms.
+POLICY_SCOPE = ["architecture", "architectural", "patrimoine", "conservation", "urbanisme", "amenagement du territoire", "amenagement urbain", "foncier", "rehabilitation", "medina", "culturel", "regeneration", "espace public", "planification", "developpement territorial", "developpement regional", "strategie territoriale", "gouvernance territoriale", "decentralisation", "innovation territoriale", "tourisme culturel", "site historique", "politique publique"]
+POLICY_OTHER = ["rehabilitation fonctionnelle", "reeducation", "functional rehabilitation"]
+POLICY_TENDER = ["appel d offres", "marche public", "remise des plis", "adjudicataire"]
+POLICY_TYPES = [
+    ("DRAFT_LAW", ["projet de loi", "avant projet de loi"]),
+    ("LAW", ["loi n", "loi cadre", "loi"]),
+    ("DECREE", ["decret"]),
+    ("ORDER", ["arrete"]),
+    ("CIRCULAR", ["circulaire"]),
+    ("PUBLIC_CONSULTATION", ["consultation publique"]),
+    ("STRATEGY", ["strategie"]),
+    ("PROGRAM", ["programme public", "programme national"]),
+    ("REGULATORY_REFORM", ["reforme reglementaire"]),
+    ("POLICY_STUDY", ["etude de politique", "etude strategique"]),
+    ("PUBLIC_STUDY", ["etude territoriale", "etude urbaine"]),
+    ("OFFICIAL_GUIDELINE", ["directive", "guide officiel", "norme"]),
+]
+POLICY_CITATIONS = ["en application de", "pour l application de", "pris pour application de", "conformement a", "en vertu de"]
+POLICY_CONSULTED = ["consultation publique", "commentaires publics", "commentaires du public"]
+POLICY_DRAFT_TITLES = ["projet de decret", "projet d arrete"]
+POLICY_DENIED = ["non adopte", "pas adopte", "pas encore adopte", "pas en vigueur", "non entre en vigueur", "entrera en vigueur"]
+POLICY_IN_FORCE = ["entre en vigueur", "en vigueur"]
+POLICY_ADOPTED = ["adopte", "adoptee", "adoption definitive", "promulgue"]
+POLICY_APPLIED = ["mise en oeuvre", "application du programme"]
+POLICY_PREPARED = ["en preparation", "elaboration en cours", "projet de decret", "projet d arrete"]
+POLICY_ANNOUNCED = ["annonce", "annoncee", "lancement"]
+
+# Briefs: what a search is for, what else its topics are called, documents that may be asked for, places with their other names, months.
+BRIEF_MODES = {
+    "PROCUREMENT": ["marche", "appel d offres", "consultation", "cps", "dce", "bpu", "dqe", "reglement de concours", "صفقة", "طلب عروض"],
+    "PROJECTS": ["projet en gestation", "projets en gestation", "projet en preparation", "projets en preparation", "chantier", "etude", "annonce de projet", "مشروع", "دراسة"],
+    "INSTITUTIONS": ["qui dirige", "institution", "responsable", "directeur", "nomination"],
+    "POLICIES": ["loi", "decret", "reglementation", "strategie publique", "politique publique", "texte"],
+    "FUNDING": ["bailleur", "financement", "finance", "subvention", "don", "pret", "fonds", "تمويل", "منحة"],
+    "ARTICLES": ["article", "presse", "actualite", "annonce"],
+}
+BRIEF_TOPICS = {
+    "muraille": ["remparts", "fortifications", "enceintes", "bastions", "portes historiques", "murs historiques", "restauration", "conservation", "confortement", "rehabilitation patrimoniale"],
+    "valorisation patrimoniale": ["mise en valeur", "sauvegarde", "conservation", "heritage valorisation", "patrimoine culturel", "patrimoine historique", "circuit patrimonial"],
+    "patrimoine": ["heritage", "patrimoine culturel", "patrimoine historique", "sauvegarde", "conservation"],
+    "etude territoriale": ["ingenierie territoriale", "diagnostic territorial", "strategie territoriale", "planification territoriale"],
+}
+BRIEF_DOCUMENTS = ["CPS", "RC", "DCE", "BPU", "DQE", "PLANS", "ANNEXES"]
+PLACES = {
+    "El Jadida": ["el jadida", "mazagan", "cite portugaise", "medina d el jadida"], "Fès": ["fes", "medina de fes", "fes el bali", "fes bali", "fes jdid"],
+    "Safi": ["safi", "ksar el bahr", "chateau de mer"], "Marrakech": ["marrakech", "medina de marrakech"], "Tiznit": ["tiznit", "medina de tiznit"],
+    "Dakhla": ["dakhla"], "Rabat": ["rabat"], "Casablanca": ["casablanca"], "Essaouira": ["essaouira", "mogador", "medina d essaouira"],
+    "Meknès": ["meknes", "medina de meknes"], "Tanger": ["tanger", "tangier"], "Ouarzazate": ["ouarzazate"], "Taroudant": ["taroudant", "medina de taroudant"],
+    "Agadir": ["agadir"], "Tétouan": ["tetouan"], "Chefchaouen": ["chefchaouen"], "Béni Mellal": ["beni mellal"], "Laâyoune": ["laayoune"], "Nador": ["nador"],
+    "Oujda": ["oujda"], "Kénitra": ["kenitra"], "Salé": ["sale"], "Maroc": ["maroc", "morocco"],
+}

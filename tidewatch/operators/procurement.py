@@ -29,8 +29,8 @@ _CODES = {
 
 def corpus(*parts: Column) -> Column:
     """Folded text of title and scope, with a space at both ends, French equivalents of Arabic terms added."""
-    text = F.regexp_replace(with_equivalents(notice_text(F.concat_ws(" ", *parts))), "_+", " ")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
+    bare = once(notice_text(F.concat_ws(" ", *parts)), with_equivalents)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[_\s]+", " ")), F.lit(" "))
 
 
 def any_of(padded: Column, terms: list[str]) -> Column:

@@ -43,8 +43,9 @@ def _literal(x) -> str:
 def golden(given: str, out: list[str], cases: list[tuple[tuple, tuple]]):
     """Register a rule over the orders, which carry the rows of ``cases`` in turn.
 
-    The function takes the given columns as a struct and returns the outcomes, read as text.  The SQL knows nothing of
-    the rule: it counts, per order, the outcome that each case says it must have.
+    The function takes the given columns and returns the outcomes as a list, or as a struct that has them (and is then
+    computed once per row).  Outcomes are read as text, lists joined by commas.  The SQL knows nothing of the rule: it
+    counts, per order, the outcome that each case says it must have.
     """
 
     def add(f):
@@ -53,7 +54,9 @@ def golden(given: str, out: list[str], cases: list[tuple[tuple, tuple]]):
             carried = spark.read.parquet(f"{d}/orders.parquet").select(F.pmod("o_orderkey", F.lit(len(cases))).cast("int").alias("i")).join(F.broadcast(rows), "i")
             names = [x.split()[0] for x in given.split(", ")]
             got = f(*[F.col(n) for n in names])
-            return carried.select("i", *[c.cast("string").alias(n) for n, c in zip(out, got, strict=True)]).groupBy("i", *out).agg(F.count("*").alias("n"))
+            judged = carried.select("i", *[c.alias(n) for n, c in zip(out, got, strict=True)]) if isinstance(got, list) else carried.select("i", F.inline(F.array(got)))
+            said = [(F.array_join(n, ",") if judged.schema[n].dataType.typeName() == "array" else F.col(n).cast("string")).alias(n) for n in out]
+            return judged.select("i", *said).groupBy("i", *out).agg(F.count("*").alias("n"))
 
         QUERIES[f.__name__] = run
         values = ", ".join("(" + ", ".join([str(i), *map(_literal, o)]) + ")" for i, (_, o) in enumerate(cases))

@@ -34,6 +34,8 @@ def _shared(spark: SparkSession) -> str:
     """A new folder for a query's stream: below the cluster's checkpoint folder, else (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         return tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
 
@@ -258,13 +260,8 @@ def q_stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Daily totals as a stream with late data allowed, run through and read back."""
     place = _shared(spark)
     source = changes.events(spark, f"{d}/events.parque*", spark.read.parquet(f"{d}/events.parquet").schema)
-    daily = changes.daily_totals(source).select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/totals")
-
-    daily.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/totals")
+    daily = changes.DailyTotals(spark, place).follow(changes.daily_totals(source))
+    return daily.select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def q_stream_cdc(spark: SparkSession, d: str) -> DataFrame:

@@ -147,8 +147,7 @@ _CASES = [c for c in _CASES if c[1]]
 
 @golden("title string, scope string, procedure string, amount double, verified boolean", ["decision", "category", "reason", "rejection", "tracks"], _CASES)
 def q_procurement_relevance(title, scope, procedure, amount, verified):
-    r = procurement.relevance(title, scope, procedure, amount, verified)
-    return [r["decision"], r["category"], r["reason"], r["rejection"], F.array_join(r["tracks"], ",")]
+    return procurement.relevance(title, scope, procedure, amount, verified)
 
 
 @golden("title string, buyer string, category string", ["first", "first_reason", "listed", "listed_reason"], [

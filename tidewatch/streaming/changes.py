@@ -12,10 +12,36 @@ def events(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def daily_totals(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Count and sum per day and kind; closed days leave the state after ``late``."""
+    """Count and sum per day and kind.
+
+    Written in update mode, a closed day leaves the state after ``late``; a row that comes later still is dropped, as
+    the watermark has it.
+    """
     return stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+class DailyTotals:
+    """Daily totals kept as one Parquet folder per batch: a batch holds the days that it changed, the newest batch counts.
+
+    Batches are written over when they run again, so a replay changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, place: str) -> None:
+        self.spark, self.place = spark, place.rstrip("/")
+
+    def follow(self, totals: DataFrame) -> DataFrame:
+        """Run a stream of ``daily_totals`` through to its present end and return all days."""
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.place}/totals/{number}")
+
+        run = totals.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.place}/checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+        every = self.spark.read.parquet(f"{self.place}/totals/*")
+        newest = every.groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("t"))
+        return newest.select("window", "event_type", "t.*")
+
+
 class StateTable:
     """Latest row per key as versioned Parquet folders; a batch that is run again writes the same version again.
 
