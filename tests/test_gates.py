@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import recovery, resolver, sessions
+from tidewatch.operators import details, identity, recovery, resolver, sessions
 from tidewatch.sources import board, search
 
 _ID = "ctl0_CONTENU_PAGE_resultSearch_tableauResultSearch_ctl"
@@ -140,3 +140,34 @@ def test_sessions(spark):
     assert dict(answers.collect()) == {0: "done", 1: "again", 2: "refused", 3: "stale", 4: "refused", 5: "unknown"}
     b = spark.createDataFrame([(["a", "b"], [], ["P"], ["CPS"], on, None)], "wanted array<string>, aliases array<string>, places array<string>, documents array<string>, since date, until date")
     assert b.select(sessions.query_text(F.struct("*"))).first()[0] == "Targeted professional research: a; b; P; CPS; 2024-03-01"
+
+
+def test_refresh(spark):
+    rows = [(i, page(listing(1, i, reference=str(i)), more=i < 7)) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "page int, html string")
+    none = spark.createDataFrame([], "identity string, digest string")
+    seen, state = board.refresh(df, none, {}, 2, 3)
+    first = state.first().asDict()
+    assert first == {"cursor": 3, "cycle_pages": 5, "cycle_new": 5, "cycle_updated": 0, "cycle_unchanged": 0, "complete": False, "stop": "max_pages"}
+    known = seen.select("identity", "digest").distinct()
+    assert [r["page"] for r in seen.filter("crawl = 'deep'").orderBy("page").collect()] == [1, 2, 3]
+    seen, state = board.refresh(df, known, first, 2, 3)
+    second = state.first().asDict()
+    assert (second["cursor"], second["cycle_new"], second["cycle_unchanged"], second["stop"]) == (6, 8, 2, "max_pages")
+    last = board.refresh(df, known, second, 2, 3)[1].first().asDict()
+    assert last == {"cursor": 0, "cycle_pages": 0, "cycle_new": 0, "cycle_updated": 0, "cycle_unchanged": 0, "complete": True, "stop": "final_page"}
+
+
+def test_details(spark):
+    c = spark.createDataFrame([(1, "1/24", "t", None), (2, "2/24", "t", "d"), (3, None, "t", None), (4, "4", "t", None)], "id int, reference string, title string, deadline string")
+    good = "https://culture.gov.ma/notice/1"
+    d = spark.createDataFrame([(1, "1-24", None, "2024", good), (2, "3/24", "x", "y", good), (3, "9", "T", None, "https://culture.gov.ma/search?q=a")], "id int, reference string, title string, deadline string, url string")
+    out, refused = details.enriched(c, d, ["title", "deadline"])
+    assert sorted(map(tuple, out.collect())) == [(1, "1-24", "t", "2024", good, True), (2, "2/24", "t", "d", None, False), (3, None, "t", None, None, False), (4, "4", "t", None, None, False)]
+    assert dict(refused.collect()) == {2: "detail_reference_mismatch", 3: "not_detail_page"}
+    p = spark.createDataFrame([("a", "x"), ("b", "x"), ("a ", "X!"), ("", "x")], "program string, funder string").withColumn("row", F.monotonically_increasing_id())
+    kept = identity.first_wins_any(p.withColumns(details.first_keys("funding")), "row", ["program"]).filter("kept").count()
+    assert kept == 3
+    f = spark.createDataFrame([("s", "CHANGED"), ("t", "NOT_MODIFIED"), ("u", "FAILED")], "source string, state string")
+    items, counts, health = details.run_sources(f, spark.createDataFrame([("s", 1), ("t", 2)], "source string, i int"))
+    assert [tuple(r) for r in items.collect()] == [("s", 1)] and tuple(counts.first()) == (3, 1, 1, 1) and dict(health.collect()) == {"s": "HEALTHY", "t": "HEALTHY", "u": "FAILED"}

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, gating, recovery, resolver, sessions
+from ..operators import details, evidence, gating, recovery, resolver, sessions
 from ..sources import board, search
 from .catalog import FOLD, golden, query
 from .judgements import _judge, _now, _today
@@ -302,3 +302,41 @@ def q_stale_runs(t):
     """Runs that are silent for longer than their budget allows have failed."""
     runs = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.col("o_orderdate").alias("started_at"))
     return recovery.end_stale(runs, F.lit("1998-06-01").cast("timestamp"), recovery.stale_minutes(60, 390)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_PAGE = {"title": "Étude du musée", "reference": "12/2024", "institution": "Commune de Fès", "deadline": D(2024, 7, 1), "url": "https://culture.gov.ma/notice/7", "text": "AO 12/2024 Etude du MUSEE, commune de Fes. Limite 01/07/2024", "rows": ["12/2024 le 01/07/2024"], "headings": ["Avis"]}
+_judge("q_detail_proof", "title string, reference string, institution string, deadline date, url string, text string, rows array<string>, headings array<string>", _PAGE, ["why"], [
+    ({}, (None,)),
+    ({"rows": ["12/2024", "13/2024"]}, ("container",)),
+    ({"headings": ["Appels d'offres"]}, ("container",)),
+    ({"rows": ["12/2024", "13/2024"], "url": _OFFICIAL}, (None,)),
+    ({"deadline": D(2024, 7, 2)}, ("not_verified",)),
+    ({"deadline": None}, ("not_verified",)),
+    ({"institution": None}, ("not_verified",)),
+    ({"reference": "13/2024"}, ("not_verified",)),
+    ({"url": "https://culture.gov.ma/actualites"}, ("not_verified",)),
+    ({"text": "Annulé : AO 12/2024 Etude du musée, commune de Fès. Limite 2024-07-01"}, ("closed",)),
+    ({"reference": None, "text": None}, ("not_verified",)),
+], lambda r: F.struct(details.unproven(r).alias("why")))
+
+
+@golden("text string, href string, label string, form boolean", ["available", "size", "access", "url"], [
+    (("Le DCE (12,5 Mo) est disponible", "files/dce.zip", "Dossier", False), (True, "12,5 Mo", "DIRECT_DOWNLOAD", "https://a.org/x/files/dce.zip")),
+    (("Le DCE est disponible", "files/dce.zip", "Dossier", True), (True, None, "FORM_REQUIRED", None)),
+    (("Le CPS est disponible", "about.html", "Contact", False), (True, None, "ATTACHMENT_AVAILABLE", None)),
+    (("Règlement du concours: formulaire à renseigner", "about.html", "Contact", None), (True, None, "FORM_REQUIRED", None)),
+    (("Bienvenue", "plan.pdf", "plans", None), (True, None, "DIRECT_DOWNLOAD", "https://a.org/x/plan.pdf")),
+    (("Bienvenue", "menu.pdf", "menu", None), (False, None, "NOT_FOUND", None)),
+])
+def q_tender_documents(text, href, label, form):
+    d = details.documents(text, F.array(F.struct(href.alias("href"), label.alias("label"))), F.lit("https://a.org/x/page"), form)
+    return [d["available"], d["size"], d["access"], d["url"]]
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END AS blocks FROM orders""")
+def q_project_blocks(t):
+    """Texts that list several projects, one block each; other texts are one block."""
+    line = "Étude de faisabilité du musée régional de la ville"
+    several = f"Programme\n- {line} A\n\n* {line} B\nFin"
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", several).when(F.col("o_orderstatus") == "O", f"{line}\nshort").alias("text"), F.lit(None).cast("date").alias("published"))
+    return details.project_blocks(rows, _today()).groupBy("id").agg(F.count("*").cast("int").alias("blocks"))

@@ -131,9 +131,32 @@ def walk(pages: DataFrame, known: DataFrame, overlap: int | None = None, most: i
     why = why.when((F.col("rows") == 0) & ~F.col("has_next"), "empty_page")
     if most is not None:
         why = why.when(F.col("_at") >= most, "max_pages")
-    why = why.when(~F.col("has_next") | F.coalesce(F.col("_at") >= F.col("_declared"), F.lit(False)), "final_page")
+    why = why.when(~F.col("has_next") | F.coalesce(F.col("page") >= F.col("_declared"), F.lit(False)), "final_page")
     # a loop is known once its page is there, which then does not count
     ended = met.withColumn("stop", why).groupBy("crawl").agg(F.min_by(F.struct("page", "stop", "_at"), F.when(F.col("stop").isNotNull(), F.col("page"))).alias("e"), F.max(F.struct("page", "_at")).alias("l"))
     looped = F.col("e.stop") == "pagination_loop"
     last = ended.select("crawl", F.coalesce(F.when(looped, F.col("e.page") - 1).otherwise(F.col("e.page")), F.col("l.page")).alias("last"), F.coalesce(F.when(looped, F.col("e._at") - 1).otherwise(F.col("e._at")), F.col("l._at")).cast("long").alias("pages"), F.coalesce("e.stop", F.lit("final_page")).alias("stop"))
     return classed.join(last.select("crawl", "last"), "crawl").filter("page <= last").drop("last"), last.drop("last")
+
+
+def refresh(pages: DataFrame, known: DataFrame, checkpoint: dict, front: int, deep: int, overlap: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(observations of both segments, next checkpoint: cursor, cycle_pages, cycle_new, cycle_updated, cycle_unchanged, complete, stop).
+
+    ``pages``: page, html; ``checkpoint``: the last one as a dict.  The front segment reads from page 1 until nothing
+    changes, the deep one goes on from the cursor.  Only the deep one moves the cursor; when it reaches the last page
+    the cycle is complete and its counters begin anew.
+    """
+    cursor = checkpoint.get("cursor", 0)
+    parts = [pages.filter(F.col("page") <= front).withColumn("crawl", F.lit("front")), pages.filter((F.col("page") > cursor) & (F.col("page") <= cursor + deep)).withColumn("crawl", F.lit("deep"))]
+    (a, ends_a), (b, ends_b) = walk(parts[0], known, overlap, front), walk(parts[1], known, None, deep)
+    seen, ends = a.unionByName(b), ends_a.unionByName(ends_b)
+    counted = seen.agg(*[F.count_if(F.col("class") == c).alias(c.lower()) for c in ("NEW", "UPDATED", "UNCHANGED")])
+    mine = lambda c: F.max(F.when(F.col("crawl") == "deep", F.col(c)))
+    walked = ends.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(mine("pages"), F.lit(0)).alias("deep"), F.coalesce(mine("stop"), F.max("stop"), F.lit("empty_page")).alias("stop"))
+    done = F.col("stop").isin("final_page", "empty_page")
+    add = lambda name, c: F.when(done, 0).otherwise(F.col(c) + checkpoint.get(name, 0)).cast("long").alias(name)
+    state = walked.join(F.broadcast(counted)).select(
+        F.when(done, 0).otherwise(F.col("deep") + cursor).cast("long").alias("cursor"), add("cycle_pages", "pages"), add("cycle_new", "new"), add("cycle_updated", "updated"),
+        add("cycle_unchanged", "unchanged"), done.alias("complete"), "stop",
+    )
+    return seen, state
