@@ -171,3 +171,17 @@ def test_details(spark):
     f = spark.createDataFrame([("s", "CHANGED"), ("t", "NOT_MODIFIED"), ("u", "FAILED")], "source string, state string")
     items, counts, health = details.run_sources(f, spark.createDataFrame([("s", 1), ("t", 2)], "source string, i int"))
     assert [tuple(r) for r in items.collect()] == [("s", 1)] and tuple(counts.first()) == (3, 1, 1, 1) and dict(health.collect()) == {"s": "HEALTHY", "t": "HEALTHY", "u": "FAILED"}
+
+
+def test_cards_and_memory(spark):
+    from tidewatch.operators import gating
+
+    links = spark.createDataFrame([(1, 1, "NEW", "PENDING", 80), (1, 2, "KNOWN", "REJECTED", 60), (1, 3, "NEW", "PENDING", 50)], "session int, result int, match string, review string, score int")
+    results = spark.createDataFrame([(1, "t", "u", date(2024, 1, 2), None, "R1", True), (2, "t", "u", None, None, "R1", None), (3, "t", "u", None, None, "R9", False)], "result int, title string, url string, published date, deadline date, collection string, targeted_only boolean")
+    got = {r["result"]: (r["published"], r["deadline"], r["origin"]) for r in sessions.payload(links, results, {"R1": "Markets"}).collect()}
+    assert got == {1: ("2024-01-02", "—", "targeted"), 2: ("—", "—", "Markets"), 3: ("—", "—", "R9")}
+    s = spark.createDataFrame([(1, 5), (2, 7), (3, 7)], "session int, updated_at int")
+    assert [r["session"] for r in sessions.history(s, 2).collect()] == [2, 3]
+    o = F.struct(F.lit(True).alias("valid"), F.array(F.lit("a")).alias("reasons"))
+    m = lambda prompt, rules="1": gating.memory("markets", rules, "S", prompt, o)
+    assert tuple(spark.range(1).select(m("p") == m("p"), m("p") == m("q"), m("p") == m("p", "2")).first()) == (True, False, False)
