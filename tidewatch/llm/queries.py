@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, codes, decontaminate, jaccard, lm, media, pieces, pii, quality, repair, secrets, url_filters
+from . import chat, codes, decontaminate, jaccard, lm, media, pieces, pii, quality, repair, reshard, secrets, url_filters
 from ._spark import read
 
 
@@ -29,10 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece_rounds": lambda spark, d: pieces.query(read(spark, d, "documents"), piece_model()),
         "op9_secret_scan": lambda spark, d: secrets.query(read(spark, d, "documents")),
         "op10_chat_windows": lambda spark, d: chat.query(read(spark, d, "conversations")),
+        "op11_min_cost_resharding": lambda spark, d: reshard.query(read(spark, d, "documents")),
         "op12_conversation_repair": lambda spark, d: repair.query(read(spark, d, "conversations")),
         "op13_vector_codes": lambda spark, d: codes.query(read(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_temporal_url_filters": url_filters.ORACLE, "op9_secret_scan": secrets.oracle(), "op12_conversation_repair": repair.oracle(), "op13_vector_codes": codes.oracle()}
+    return {"op6_temporal_url_filters": url_filters.ORACLE, "op9_secret_scan": secrets.oracle(), "op11_min_cost_resharding": reshard.oracle(), "op12_conversation_repair": repair.oracle(), "op13_vector_codes": codes.oracle()}
