@@ -178,7 +178,7 @@ def marked(rows: DataFrame) -> DataFrame:
     light = rows.select("conv_id", *ORDER, F.when(F.col("copy").isNotNull(), place).alias("place"), F.when(last == "", 2).when(last.isin(".", "!", "?"), 0).otherwise(1).alias("fault"), F.unhex(F.sha2(F.concat("role", F.lit("\n"), "text"), 256)).alias("same"), F.length("role").alias("cut"))
     seen = F.row_number().over(Window.partitionBy("conv_id", "same", "cut").orderBy(*[F.col(c).asc_nulls_first() for c in ORDER]))
     fault = F.when(F.col("fault") == 2, 2).when(F.col("seen") > 1, 3).otherwise(F.col("fault"))
-    return light.withColumn("seen", seen).select("conv_id", *ORDER, F.char(97 + 4 * F.col("place") + fault).alias("letter"))
+    return light.withColumn("seen", seen).select("conv_id", *ORDER, "seen", F.char(97 + 4 * F.col("place") + fault).alias("letter"))
 
 
 def signatures(marks: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def signatures(marks: DataFrame) -> DataFrame:
         yield batch()
 
     ordered = marks.withColumn("turn", F.col("turn").cast("long"))
-    by = [F.col(c).asc_nulls_first() for c in ("conv_id", *ORDER)]
+    by = [F.col(c).asc_nulls_first() for c in ("conv_id", *ORDER, "seen")]  # of rows alike in all, the duplicates come later
     runs = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("conv_id", "turn", "letter").mapInArrow(pieces, piece)
     run = F.struct(F.spark_partition_id().alias("task"), "signature", "first", "last", "turns")
     whole = runs.select("conv_id", run.alias("run")).groupBy("conv_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
@@ -365,10 +365,10 @@ rows_ as (select conv_id, turn, first_role, sha256(given) as tie, copy, if(kind
         case kind when 1 then '' when 2 then regexp_replace(given, '[.!?]', '', 'g') else given end as text
     from src, (values (0), (1)) c(copy) where kind <> 0 and (copy = 0 or kind = 3)),
 placed as (select *, row_number() over (partition by conv_id order by turn nulls first, first_role, tie, copy) as rn,
-        row_number() over (partition by conv_id, role, text order by turn nulls first, first_role, tie, copy) as nth,
         left(role, 1) as ini, right(regexp_replace(text, '[\\x20\\x09-\\x0D]+\\z', ''), 1) as ending from rows_),
+numbered as (select *, row_number() over (partition by conv_id, role, text order by rn) as nth from placed),
 judged as (select *, case when ending = '' then 'blank' when nth > 1 then 'duplicate' when ending not in ('.', '!', '?') then 'truncated' else '' end as fault,
-        lag(ini) over (partition by conv_id order by rn) as before from placed),
+        lag(ini) over (partition by conv_id order by rn) as before from numbered),
 marks as (select *, fault in ('blank', 'duplicate') as dead, (fault = 'truncated')::BIGINT as cut from judged),
 kept as (select conv_id, count(*) as n,
         coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::BIGINT as gaps,
