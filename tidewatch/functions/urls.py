@@ -16,9 +16,9 @@ def scheme(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host in ASCII form, without user information and port; empty where there is none."""
+    """Lower-case host in ASCII form, without user information and port; empty where there is none or it has no such form."""
     said = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(url, _AUTHORITY, 1), "^.*@", ""), r":[0-9]*$", ""))
-    return F.when(said.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("java.net.IDN"), F.lit("toASCII"), said)).otherwise(said)
+    return F.when(said.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), said), F.lit(""))).otherwise(said)
 
 
 def domain(url: Column) -> Column:
@@ -66,23 +66,34 @@ def canonical_url(url: Column) -> Column:
     return F.when(good, F.concat(s, F.lit("://"), h, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), place, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def _without_dots(place: Column) -> Column:
+    """A path with its ``.`` and ``..`` steps taken, however many; it never climbs above the root."""
+    steps = F.split(place, "/")
+    last = F.element_at(steps, -1)
+    taken = F.aggregate(
+        F.filter(steps, lambda s: s != "."), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+    )
+    ended = F.when(last.isin(".", ".."), F.concat(taken, F.array(F.lit("")))).otherwise(taken)
+    whole = F.array_join(ended, "/")
+    return F.when(F.startswith(whole, F.lit("/")), whole).otherwise(F.concat(F.lit("/"), whole))
+
+
 def resolved(base: Column, href: Column) -> Column:
     """An address found on a page: absolute, from the scheme, from the root, a query or fragment of the page, or beside it."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     bare, folder = F.regexp_extract(base, r"^([^?#]*)", 1), F.regexp_extract(path(base), r"^(.*/)", 1)
-    beside = F.concat(F.when(folder == "", "/").otherwise(folder), href)
-    climbed = beside
-    for _ in range(8):  # ./ and ../ steps, the innermost first; more than eight deep stay as they are
-        climbed = F.regexp_replace(F.regexp_replace(climbed, r"/\./", "/"), r"/(?!\.\.)[^/?#]+/\.\./", "/")
-    climbed = F.regexp_replace(climbed, r"^(/\.\.)+/", "/")
+    place, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    dotted = lambda c: F.when(c.rlike(r"(^|/)\.\.?(/|$)"), _without_dots(c)).otherwise(c)
+    beside = F.concat(F.when(folder == "", "/").otherwise(folder), place)
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(origin, dotted(place), rest))
         .when(F.startswith(href, F.lit("?")), F.concat(bare, href))
         .when(href == "", base)
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
-        .otherwise(F.concat(origin, climbed))
+        .otherwise(F.concat(origin, dotted(beside), rest))
     )
 
 

@@ -24,13 +24,20 @@ FOLD = "trim(regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a
 NORM = "trim(regexp_replace(lower(replace({0}, 'ß', 'ss')), '\\s+', ' ', 'g'))"
 
 
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """Add a query of (session, folder of tables) and its DuckDB SQL; a name is given once."""
+    if name in QUERIES:
+        raise ValueError(f"two queries are named {name}")
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = sql
+
+
 def query(sql: str | None = None):
     """Register a function of (reader of tables) under its name, with its DuckDB SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
-        if sql:
-            ORACLE[f.__name__] = sql
+        register(f.__name__, lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet")), sql)
         return f
 
     return add
@@ -58,9 +65,8 @@ def golden(given: str, out: list[str], cases: list[tuple[tuple, tuple]]):
             said = [(F.array_join(n, ",") if judged.schema[n].dataType.typeName() == "array" else F.col(n).cast("string")).alias(n) for n in out]
             return judged.select("i", *said).groupBy("i", *out).agg(F.count("*").alias("n"))
 
-        QUERIES[f.__name__] = run
         values = ", ".join("(" + ", ".join([str(i), *map(_literal, o)]) + ")" for i, (_, o) in enumerate(cases))
-        ORACLE[f.__name__] = f"WITH g(i, {', '.join(out)}) AS (VALUES {values}) SELECT g.i::INT AS i, {', '.join(f'{n}::VARCHAR AS {n}' for n in out)}, count(*) AS n FROM orders JOIN g ON g.i = o_orderkey % {len(cases)} GROUP BY ALL"
+        register(f.__name__, run, f"WITH g(i, {', '.join(out)}) AS (VALUES {values}) SELECT g.i::INT AS i, {', '.join(f'{n}::VARCHAR AS {n}' for n in out)}, count(*) AS n FROM orders JOIN g ON g.i = o_orderkey % {len(cases)} GROUP BY ALL")
         return f
 
     return add

@@ -49,7 +49,7 @@ def q_project_signal(t):
 
 @query(f"""{_DOCS}, s AS (SELECT f, {_case([("closed", _any(L.FUNDING_CLOSED)), ("pipeline", _any(L.FUNDING_FRAMEWORK, False)), ("open", "NOT " + _any(L.FUNDING_NOT_OPEN, False) + " AND " + _any(L.FUNDING_OPEN)), ("active", _any(L.FUNDING_ACTIVE)), ("preparation", _any(L.FUNDING_PREPARED))], "'pipeline'")} AS st, {_any(L.FUNDING_PLACES)} AND {_any(L.FUNDING_SCOPE)} AS inside FROM d)
 SELECT CASE WHEN inside THEN st END AS status, count(*) AS n FROM s GROUP BY 1""")
-def q_funding_class(t):
+def q_funding_status(t):
     return t("documents").select(rules.funding(F.col("text"))["status"].alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 

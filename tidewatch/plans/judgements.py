@@ -153,7 +153,7 @@ _judge("q_notice_currency", _NOTICE, _GOOD, ["obsolete", "current"], [
     (("Circulaire sur un marché public de conservation", ""), (None, None)),
     (("Un texte", "conservation"), (None, None)),
 ])
-def q_policy_class(title, evidence):
+def q_policy_documents(title, evidence):
     return notices.once(policies.classify(title, evidence), lambda c: F.struct(c["type"].alias("type"), c["status"].alias("status")))
 
 

@@ -69,12 +69,14 @@ def fed(pages: DataFrame) -> DataFrame:
 def answered(pages: DataFrame) -> DataFrame:
     """Records of JSON answers: title, url, date, reference, evidence (the record itself).
 
-    A list, or the first of ``projects``, ``items``, ``results`` and ``data`` that is a list or an object of records.
+    A list, or the first of ``projects``, ``items``, ``results`` and ``data`` that is a list or an object of records;
+    of its first entries those that are objects count.
     """
     body = F.coalesce("body", F.lit(""))
-    inner = F.coalesce(*[F.get_json_object(body, f"$.{k}") for k in ("projects", "items", "results", "data")])
+    nested = lambda c: F.when(c.rlike(r"^\s*[\[{]"), c)
+    inner = F.coalesce(*[nested(F.get_json_object(body, f"$.{k}")) for k in ("projects", "items", "results", "data")])
     held = F.when(F.startswith(F.trim(body), F.lit("[")), body).otherwise(inner)
-    rows = F.coalesce(F.from_json(held, "array<string>"), F.map_values(F.from_json(held, "map<string,string>")))
+    rows = F.slice(F.coalesce(F.from_json(held, "array<string>"), F.map_values(F.from_json(held, "map<string,string>"))), 1, MOST_RECORDS)
 
     def record(r: Column) -> Column:
         value = lambda *keys: F.coalesce(*[F.nullif(F.get_json_object(r, f"$.{k}"), F.lit("")) for k in keys])
