@@ -6,6 +6,7 @@ Roles as in ``catalog``; orders are also notices (their price an amount, their d
 from __future__ import annotations
 
 import tempfile
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ..functions import lexicons as L
 from ..functions import text, urls, values
 from ..operators import evidence, notices, rules
 from ..sources import pages
-from ..streaming import changes
-from .catalog import _CANON, AS_OF, FOLD, ORACLE, QUERIES, query
+from ..streaming import changes, runs
+from .catalog import _CANON, AS_OF, FOLD, ORACLE, query, register
 
 
 def _any(terms: list[str], whole: bool = True) -> str:
@@ -272,8 +273,26 @@ def q_stream_cdc(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy("state").agg(F.count("*").alias("n"))
 
 
-QUERIES |= {"q_stream_tumbling": q_stream_tumbling, "q_stream_cdc": q_stream_cdc}
-ORACLE |= {
-    "q_stream_tumbling": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    "q_stream_cdc": "SELECT CASE WHEN b IS NULL THEN 'NEW' WHEN b = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1",
-}
+def q_stream_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Life of runs of every user's events as a stream: one run at a time, failed by a timer after half a day."""
+    source = changes.events(spark, f"{d}/events.parque*", spark.read.parquet(f"{d}/events.parquet").schema)
+    steps = {"signup": "reserve", "view": "claim", "click": "stage", "purchase": "complete", "error": "fail"}
+    step = F.try_element_at(F.create_map(*[F.lit(x) for pair in steps.items() for x in pair]), F.col("event_type"))
+    asked = source.select(F.col("user_id").alias("scope"), F.col("event_id").alias("id"), F.col("ts").alias("at"), step.alias("step"), F.col("event_type").alias("detail"))
+    done = runs.followed(runs.log(asked, timedelta(hours=12)), _shared(spark))
+    return done.select("scope", "run", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "status", "detail")
+
+
+register("q_stream_tumbling", q_stream_tumbling, "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+register("q_stream_cdc", q_stream_cdc, "SELECT CASE WHEN b IS NULL THEN 'NEW' WHEN b = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1")
+register("q_stream_runs", q_stream_runs, """WITH RECURSIVE e AS (SELECT user_id AS scope, event_id AS id, ts, event_type AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+w AS (SELECT DISTINCT scope, 0::BIGINT AS n, NULL::BIGINT AS run, NULL::BOOLEAN AS claimed, NULL::TIMESTAMP AS since, NULL::BIGINT AS gone, NULL::TIMESTAMP AS gone_at, NULL::BIGINT AS of_run, NULL::TIMESTAMP AS tm, NULL::VARCHAR AS status, NULL::VARCHAR AS detail FROM e
+UNION ALL SELECT scope, n, CASE WHEN d = 'signup' THEN coalesce(live, id) WHEN d IN ('purchase', 'error') THEN NULL ELSE live END, CASE d WHEN 'signup' THEN live IS NOT NULL AND claimed WHEN 'view' THEN live IS NOT NULL WHEN 'click' THEN claimed ELSE false END, CASE WHEN d = 'signup' AND live IS NULL THEN ts WHEN d IN ('purchase', 'error') THEN NULL WHEN live IS NULL THEN NULL ELSE since END,
+ gone, gone_at, CASE WHEN d = 'signup' THEN id ELSE live END, ts,
+ CASE WHEN d = 'signup' THEN CASE WHEN live IS NULL THEN 'INITIALIZED' ELSE 'REJECTED' END WHEN live IS NULL OR (d = 'view' AND claimed) THEN 'REJECTED' WHEN d = 'view' THEN 'RUNNING' WHEN d = 'click' THEN CASE WHEN claimed THEN 'RUNNING' ELSE 'INITIALIZED' END WHEN d = 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END,
+ CASE WHEN d = 'signup' AND live IS NOT NULL THEN 'already_running' WHEN d <> 'signup' AND live IS NULL THEN 'not_active' WHEN d = 'view' AND claimed THEN 'already_claimed' ELSE d END
+ FROM (SELECT e.scope, e.n, e.id, e.ts, e.d, CASE WHEN w.since + INTERVAL 12 HOUR > e.ts THEN w.run END AS live, coalesce(w.since + INTERVAL 12 HOUR > e.ts AND w.claimed, false) AS claimed, w.since, CASE WHEN w.since + INTERVAL 12 HOUR <= e.ts THEN w.run END AS gone, CASE WHEN w.since + INTERVAL 12 HOUR <= e.ts THEN w.since + INTERVAL 12 HOUR END AS gone_at FROM w JOIN e ON e.scope = w.scope AND e.n = w.n + 1)),
+l AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY n DESC) AS last FROM w),
+a AS (SELECT scope, of_run AS run, tm, status, detail FROM w WHERE n > 0 UNION ALL SELECT scope, gone, gone_at, 'FAILED', 'stale_run_recovered' FROM w WHERE gone IS NOT NULL
+UNION ALL SELECT scope, run, since + INTERVAL 12 HOUR, 'FAILED', 'stale_run_recovered' FROM l WHERE last = 1 AND run IS NOT NULL AND since + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)
+SELECT scope, run, strftime(tm, '%Y-%m-%d %H:%M:%S.%f') AS "at", status, detail FROM a""")
