@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewatch.plans import accounting, catalog, decisions, gates, judgements, notices, records  # noqa: F401
+from tidewatch.plans import accounting, catalog, decisions, gates, judgements, leadership, notices, records  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
