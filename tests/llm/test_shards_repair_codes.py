@@ -209,3 +209,28 @@ def test_codes_of_odd_vectors(spark):
 def test_codes_on_the_table(spark):
     df = spark.read.parquet(f"{DIR}/embeddings.parquet")
     agree(codes.query(df), codes.oracle(), "embeddings", [tuple(r) for r in df.collect()], "vec_id bigint, embedding float[], label int")
+
+
+# --- the sieve of looked-up texts (near duplicates) ---
+
+
+def test_sieve_lets_all_wanted_and_few_others_pass(spark):
+    from tidewatch.llm import jaccard
+
+    keys = spark.range(20_000).selectExpr("xxhash64(id) as k")
+    sieve = jaccard.Sieve(keys, "k")
+    wanted = keys.toPandas()["k"].to_numpy()
+    others = spark.range(20_000, 120_000).selectExpr("xxhash64(id) as k").toPandas()["k"].to_numpy()
+    assert sieve.passes(wanted).all() and sieve.passes(others).mean() < 0.02 and sieve.bits < 1 << 20
+    assert not jaccard.Sieve(keys.limit(0), "k").passes(others).any()
+    assert jaccard.Sieve(keys, "k", 64).passes(others).mean() > 0.5  # a full sieve keeps nothing back
+
+
+def test_near_duplicates_are_the_same_whatever_the_sieve_holds(spark, monkeypatch):
+    from tidewatch.llm import jaccard
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").unionByName(spark.createDataFrame([(None, None, "x", "s", 0), (None, None, "x", "s", 0), (3, "one two", "x", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = lambda: (sorted(map(repr, jaccard.cluster(docs).collect())), sorted(map(repr, jaccard.keep_one(docs).collect())))
+    thin = rows()
+    monkeypatch.setattr(jaccard.Sieve.__init__, "__defaults__", (64,))
+    assert rows() == thin
