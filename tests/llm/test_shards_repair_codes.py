@@ -234,3 +234,71 @@ def test_near_duplicates_are_the_same_whatever_the_sieve_holds(spark, monkeypatc
     thin = rows()
     monkeypatch.setattr(jaccard.Sieve.__init__, "__defaults__", (64,))
     assert rows() == thin
+
+
+# --- repeated words against a benchmark, and very long addresses ---
+
+
+def matched(texts, items, window, most):
+    import pyarrow as pa
+
+    from tidewatch.llm import _text, decontaminate
+
+    block = decontaminate.Block([str(i) for i in range(len(items))], items, window)
+    before = decontaminate.longest.__defaults__
+    decontaminate.longest.__defaults__ = (most,)
+    try:
+        out = decontaminate.search_shard(*_text.flat(pa.array(texts)), [block], window)
+    finally:
+        decontaminate.longest.__defaults__ = before
+    return [(int(h), i, sorted((m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in f)) for h, i, f in zip(out["n_hit"], out["items"], out["matches"], strict=True)]
+
+
+def test_matches_of_repeated_words_by_brute_force():
+    random.seed(8)
+    say = lambda n: " ".join(random.choice("aab") for _ in range(n))
+    for _ in range(120):
+        texts, items = [say(random.randint(0, 40)) for _ in range(4)], [say(random.randint(0, 25)) for _ in range(5)] + ["z y"]
+        want = []
+        for t in (x.split() for x in texts):
+            hit, ids, longest = set(), set(), []
+            for i, item in enumerate(x.split() for x in items):
+                k = min(4, len(item))
+                met = {(w, p) for w in range(len(item) - k + 1) for p in range(len(t) - k + 1) if k and item[w : w + k] == t[p : p + k]}
+                for w, p in met:
+                    hit |= set(range(p, p + k))
+                    ids.add(str(i))
+                    if (w - 1, p - 1) not in met:
+                        longest.append((str(i), w, p, k - 1 + next(n for n in itertools.count() if (w + n, p + n) not in met)))
+            want.append((len(hit), sorted(ids), sorted(longest)))
+        assert all(matched(texts, items, 4, most) == want for most in (0, 7, 1 << 19))
+
+
+def test_one_repeated_word_takes_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    ((hit, ids, longest),) = matched(["w " * 20_000], ["w " * 5000], 10, 1 << 19)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit == 20_000 and ids == ["0"] and len(longest) == 20_000 - 9 + 5000 - 9 - 1 and peak < 300e6
+
+
+def test_long_addresses_and_odd_events(spark):
+    import time
+    from datetime import date
+
+    from tidewatch.llm import url_filters
+
+    urls = ["https://www.a.example/" + "x/" * 50_000, "https://" + "a." * 50_000 + "b.example/x", "http://b.example/x//y/", None, "nohost"]
+    caps = spark.createDataFrame([(i, u, date(2024, 1, 2), "own") for i, u in enumerate(urls)], "id int, url string, fetched_at date, entries string")
+    day = date(2024, 1, 1)
+    tied = [("l", "b.example", "add", date(2024, 1, 2), "c"), ("l", "b.example", "remove", date(2024, 1, 2), "c")]  # at one time: the removal wins
+    events = [("l", k, "add", day, "c") for k in ("a.example", "www.a.example/x/x/x", "example", "b.example/x/y", "b.example", None, "")] + tied
+    df = spark.createDataFrame(events, "list string, key string, action string, at date, category string")
+    url_filters.evaluate(caps, df).collect()
+    began = time.time()
+    got = {r["id"]: [e["key"] for e in r["entries_"]] for r in url_filters.evaluate(caps, df).collect()}
+    assert time.time() - began < 20
+    assert got == {0: ["a.example", "example", "www.a.example/x/x/x"], 1: ["example"], 2: ["b.example/x/y", "example"], 3: [], 4: []}
+    assert url_filters.evaluate(caps.limit(0), df).collect() == [] and all(r["entries_"] == [] for r in url_filters.evaluate(caps, df.limit(0)).collect())

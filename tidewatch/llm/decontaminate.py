@@ -10,7 +10,9 @@ Scale: one narrow pass over the documents, no shuffle, for each ``GROUP_BYTES``
 benchmark text; that much, in blocks of ``BLOCK_BYTES``, is what is broadcast and
 what a task holds at once.  A benchmark of one group, as usual, needs no more.  Of
 further groups each pass writes its matches only, keyed by a row number, and an
-aggregation of these joins the documents at the end.
+aggregation of these joins the documents at the end.  An item whose words repeat
+occurs in a text of the same words at nearly every pair of places; such an item
+is followed word by word, so that a task holds its open matches only.
 
 Defined results: a null text, or one without words, has no words and no match;
 an item without words matches nothing; an item shorter than the window is one
@@ -37,6 +39,7 @@ from ._spark import annotate, free_name, table
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 GROUP_BYTES = 16 << 20  # a task holds some eight times as much
+OCCURRENCES = 1 << 19  # of an item in a shard, up to which they are joined all at once
 _SEPARATOR = np.uint64(0)
 
 MATCH = StructType([StructField("item_id", StringType()), StructField("item_word", IntegerType()), StructField("doc_word", LongType()), StructField("n_words", IntegerType())])
@@ -150,6 +153,66 @@ def block_groups(benchmark: DataFrame, window: int) -> Iterator[list[Block]]:
     yield some
 
 
+def _joined(sa: np.ndarray, lo: np.ndarray, n: np.ndarray, block: Block, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Longest matches (item, word, place, length) of the queries ``at``, whole items each, all their occurrences at once."""
+    n, lo = n[at], lo[at]
+    q = np.repeat(np.arange(len(at)), n)
+    place = sa[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(q))]
+    size, item, word = block.size[at][q], block.item[at][q], block.word[at][q]
+    # occurrences one word apart on the same diagonal of the same item are one longer match
+    order = np.lexsort((place, place - word, item))
+    place, size, item, word = place[order], size[order], item[order], word[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (word[1:] != word[:-1] + 1)
+    head = np.flatnonzero(new)
+    run = np.diff(np.append(head, len(place)))
+    return item[head], word[head], place[head], size[head] + run - 1
+
+
+def _followed(sa: np.ndarray, lo: np.ndarray, n: np.ndarray, block: Block, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for one item of very many occurrences (repeated words): word after word, only the open matches are held."""
+    open_, since = np.zeros(0, np.int64), np.zeros(0, np.int64)  # places of the latest word's occurrences, sorted, and the word each match began with
+    size, item = int(block.size[at[0]]), int(block.item[at[0]])
+
+    def ended(which: np.ndarray, word: int) -> tuple[np.ndarray, ...]:
+        run = word - since[which]
+        return np.full(len(run), item), since[which], open_[which] - run + 1, size + run - 1
+
+    before, places = None, None
+    for word, q in enumerate(at):
+        interval = (int(lo[q]), int(n[q]))
+        if interval != before:
+            before, places = interval, np.sort(sa[lo[q] : lo[q] + n[q]])
+        k = np.searchsorted(open_, places - 1)
+        goes_on = np.zeros(len(places), bool)
+        inside = k < len(open_)
+        goes_on[inside] = open_[k[inside]] == places[inside] - 1
+        stops = np.ones(len(open_), bool)
+        stops[k[goes_on]] = False
+        if stops.any():
+            yield ended(np.flatnonzero(stops), word)
+        begun = np.full(len(places), word)
+        begun[goes_on] = since[k[goes_on]]
+        open_, since = places, begun
+    if len(open_):
+        yield ended(np.arange(len(open_)), len(at))
+
+
+def longest(sa: np.ndarray, lo: np.ndarray, n: np.ndarray, block: Block, most: int = OCCURRENCES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Longest matches (item, word, place, length) of a block, in parts of bounded size.
+
+    Items of at most ``most`` occurrences go together as far as they have twice that many; others go by themselves.
+    """
+    each = np.bincount(block.item, n, len(block.ids)).astype(np.int64)
+    first = np.searchsorted(block.item, np.arange(len(block.ids) + 1))
+    light = np.flatnonzero((each > 0) & (each <= most))
+    part = np.cumsum(each[light]) // max(1, most)
+    for g in np.unique(part):
+        yield _joined(sa, lo, n, block, np.flatnonzero(np.isin(block.item, light[part == g]) & (n > 0)))
+    for i in np.flatnonzero(each > most):
+        yield from _followed(sa, lo, n, block, np.arange(first[i], first[i + 1]))
+
+
 def search_shard(data: np.ndarray, offs: np.ndarray, some: Iterator[Block], window: int) -> dict:
     """All matches of the blocks' items in one shard, by row."""
     sym, first = symbols(data, offs)
@@ -159,24 +222,12 @@ def search_shard(data: np.ndarray, offs: np.ndarray, some: Iterator[Block], wind
     found: list[list] = [[] for _ in range(rows)]
     for block in some:
         lo, hi = locate(sym, sa, block.sym, block.at, block.size)
-        n = hi - lo
-        q = np.repeat(np.arange(len(n)), n)
-        if not len(q):
-            continue
-        place = sa[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(q))]
-        size, item, word = block.size[q], block.item[q], block.word[q]
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + size, -1)
-        # occurrences one word apart on the same diagonal of the same item are one longer match
-        order = np.lexsort((place, place - word, item))
-        place, size, item, word = place[order], size[order], item[order], word[order]
-        new = np.ones(len(place), bool)
-        new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (word[1:] != word[:-1] + 1)
-        head = np.flatnonzero(new)
-        run = np.diff(np.append(head, len(place)))
-        row = np.searchsorted(first, place[head], "right") - 1
-        for r, i, w, p, s in zip(row, item[head], word[head], place[head] - first[row], size[head] + run - 1, strict=True):
-            found[r].append({"item_id": block.ids[i], "item_word": int(w), "doc_word": int(p), "n_words": int(s)})
+        for item, word, place, length in longest(sa, lo, hi - lo, block):
+            np.add.at(cover, place, 1)
+            np.add.at(cover, place + length, -1)
+            row = np.searchsorted(first, place, "right") - 1
+            for r, i, w, p, s in zip(row, item, word, place - first[row], length, strict=True):
+                found[r].append({"item_id": block.ids[i], "item_word": int(w), "doc_word": int(p), "n_words": int(s)})
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
     return {"n_words": np.diff(first) - 1, "n_hit": hit[first[1:]] - hit[first[:-1]], "items": [sorted({m["item_id"] for m in f}) for f in found], "matches": found}
 

@@ -1,9 +1,10 @@
 """Temporal list join: every capture against the list entries active when it was fetched.
 
 Dated list events (an entry is added or removed) become validity intervals. A
-capture yields the keys under which an entry may name it - its host, every
-parent domain, and every path prefix of the host - and an as-of lookup takes
-the intervals of these keys that contain the time of the fetch.
+capture yields the keys under which an entry may name it - its host, its
+parent domains, and path prefixes of the host, of the depths that the list
+has - and an as-of lookup takes the intervals of these keys that contain the
+time of the fetch.
 
 Scale: one shuffle of events by key, one of captures by key.  Equal captures are
 aggregated first.  An interval stays a row of its own, so neither a host with a
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ._spark import free_name
 
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user and port; empty when there is none."""
     authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -43,15 +45,23 @@ def intervals(events: DataFrame) -> DataFrame:
     return one.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").select("list", "key", "category", F.col("at").alias("since"), "until")
 
 
-def keys_of(url: Column) -> Column:
-    """Keys that may name a URL: ``host``-suffixes, and ``host/path`` prefixes of whole segments."""
+def depth_of(key: Column) -> Column:
+    """Steps of a ``host/path`` key, or minus the labels of a host's."""
+    return F.when(F.contains(key, F.lit("/")), F.size(F.split(key, "/")) - 1).otherwise(-F.size(F.split(key, r"\.")))
+
+
+def keys_of(url: Column, depths: list[int]) -> Column:
+    """Keys of the given depths that may name a URL: ``host``-suffixes of so many labels, ``host/path`` prefixes of so many steps.
+
+    Each is cut from the address in one pass, so the work is linear in its length.
+    """
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
+    whole = F.array_join(steps, "/")
+    of = lambda wanted: F.array(*[F.lit(d) for d in wanted]).cast("array<int>")
+    suffixes = F.transform(F.filter(of([-d for d in depths if d < 0]), lambda d: d <= F.size(F.split(host, r"\."))), lambda d: F.call_function("substring_index", host, F.lit("."), -d))
+    prefixes = F.transform(F.filter(of([d for d in depths if d > 0]), lambda d: d <= F.size(steps)), lambda d: F.concat(host, F.lit("/"), F.call_function("substring_index", whole, F.lit("/"), d)))
+    return F.when(host != "", F.concat(suffixes, prefixes)).otherwise(F.array().cast("array<string>"))
 
 
 def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
@@ -60,7 +70,8 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", fetched:
     cols = [F.col(f"`{c}`") for c in captures.columns]
     each = captures.select(F.struct(*cols).alias("capture"), F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("at"))
     distinct = each.groupBy("url", "at").agg(F.lit(1).alias("one"))
-    wanted = distinct.select("url", "at", F.explode(keys_of(F.col("url"))).alias("key"))
+    depths = [r[0] for r in events.select(depth_of(F.col("key")).alias("d")).filter("d IS NOT NULL").distinct().collect()]  # as many as the list has kinds of keys
+    wanted = distinct.select("url", "at", F.explode(keys_of(F.col("url"), depths)).alias("key"))
     # interval by interval: a listed key with many intervals stays many rows, and both sides of the join can be split
     valid = intervals(events).select("key", F.struct("since", "until", "list", "category").alias("s"))
     met = wanted.join(valid, "key").filter((F.col("s.since") <= F.col("at")) & (F.col("s.until").isNull() | (F.col("at") < F.col("s.until"))))
