@@ -252,8 +252,8 @@ def q_crawl_stop(t):
 @query(r"""WITH a AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages)
 SELECT page_id AS source, title, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/p/' || page_id AS url FROM a WHERE length(title) >= 18""")
 def q_linked_items(t):
-    """Links of a made page per source, labelled with the source's title; short labels are no items."""
-    body = F.concat(F.lit("<p><a class=x href='/p/"), "page_id", F.lit("'>"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("</a><a href='/q'>short</a>"))
+    """Links of every captured page, and one more labelled with its title; short labels are no items."""
+    body = F.concat("html", F.lit("<p><a class=x href='/p/"), "page_id", F.lit("'>"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("</a><a href='/q'>short</a>"))
     return items.linked(t("pages").select(F.col("page_id").alias("source"), F.col("url").alias("base"), body.alias("body"))).select("source", "title", "url")
 
 

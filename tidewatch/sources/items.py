@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import resolved
-from .pages import links, plain
+from .markup import tokenized
 
 LEAST_LABEL, MOST_ITEMS, MOST_RECORDS = 18, 250, 500  # fixed values: bounds of what a source shows
 TITLE, EVIDENCE, RAW = 1000, 2000, 4000
@@ -29,25 +29,27 @@ def _spread(pages: DataFrame, items: Column, most: int) -> DataFrame:
     return _shown(pages.select("source", F.posexplode(items).alias("position", "x")), most).select("source", "position", "x.*")
 
 
+def _links() -> Column:
+    good = F.filter(F.transform("page.links", lambda x: F.struct(x["href"].alias("href"), _text(x["label"]).alias("label"))), lambda x: F.length(x["label"]) >= LEAST_LABEL)
+    return F.transform(good, lambda x: F.struct(F.substring(x["label"], 1, TITLE).alias("title"), resolved(F.col("base"), x["href"]).alias("url"), F.substring(x["label"], 1, EVIDENCE).alias("evidence")))
+
+
 def linked(pages: DataFrame) -> DataFrame:
     """Links whose label says enough: title, url, evidence."""
-    good = F.filter(links(F.coalesce("body", F.lit(""))), lambda x: F.length(x["label"]) >= LEAST_LABEL)
-    return _spread(pages, F.transform(good, lambda x: F.struct(F.substring(x["label"], 1, TITLE).alias("title"), resolved(F.col("base"), x["href"]).alias("url"), F.substring(x["label"], 1, EVIDENCE).alias("evidence"))), MOST_ITEMS)
+    return _spread(tokenized(pages, "body"), _links(), MOST_ITEMS)
 
 
 def tabled(pages: DataFrame) -> DataFrame:
     """Table rows whose cells together say enough, with the row's first link or the page's own address; a page without any gives its links."""
-    rows = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?is)(<tr\b[^>]*>.*?</tr\s*>)"), F.lit(1))
 
     def item(row: Column) -> Column:
-        cells = F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), plain)
-        title = F.array_join(F.filter(cells, lambda c: c != ""), " ")
-        href = F.get(links(row), F.lit(0))["href"]
+        title = F.array_join(F.filter(row["cells"], lambda c: c != ""), " ")
+        href = F.get(row["links"], F.lit(0))["href"]
         return F.struct(F.substring(title, 1, TITLE).alias("title"), F.coalesce(resolved(F.col("base"), href), F.col("base")).alias("url"), F.substring(title, 1, EVIDENCE).alias("evidence"))
 
-    found = pages.withColumn("items", F.filter(F.transform(rows, item), lambda x: F.length(x["title"]) >= LEAST_LABEL))
-    own = _spread(found.filter(F.size("items") > 0), F.col("items"), MOST_ITEMS)
-    return own.unionByName(linked(found.filter(F.size("items") == 0).drop("items")))
+    rows = F.filter(F.transform("page.rows", item), lambda x: F.length(x["title"]) >= LEAST_LABEL)
+    found = tokenized(pages, "body").withColumn("items", rows)
+    return _spread(found, F.when(F.size("items") > 0, F.col("items")).otherwise(_links()), MOST_ITEMS)
 
 
 def fed(pages: DataFrame) -> DataFrame:

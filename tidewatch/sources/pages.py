@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url
+from .markup import tokenized
 
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}  # fixed values; & last
 
@@ -34,8 +35,10 @@ def records(pages: DataFrame, min_label: int = 18) -> DataFrame:
 
     A null page, an address without an http host and a page without a title are told apart; none stops the job.
     """
-    html = F.coalesce("html", F.lit(""))
-    title = plain(F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), F.lit("")), F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
+    text = lambda c: F.trim(F.regexp_replace(F.array_join(c, " "), r"\s+", " "))
+    read = tokenized(pages.select("page_id", "url", "html", (F.coalesce("html", F.lit("")) == "").alias("empty")))
+    title = F.coalesce(F.nullif(text("page.h1"), F.lit("")), text("page.headings"))  # headings are those of h1 and title
     url = canonical_url(F.col("url"))
-    reason = F.when(F.col("html").isNull() | (html == ""), "empty_page").when(url.isNull(), "bad_address").when(title == "", "no_title")
-    return pages.select("page_id", url.alias("url"), title.alias("title"), F.size(F.filter(links(html), lambda x: F.length(x["label"]) >= min_label)).cast("long").alias("n_links"), reason.alias("reason"))
+    reason = F.when(F.col("empty"), "empty_page").when(url.isNull(), "bad_address").when(title == "", "no_title")
+    said = F.filter(F.transform("page.links", lambda x: F.length(F.trim(F.regexp_replace(x["label"], r"\s+", " ")))), lambda n: n >= min_label)
+    return read.select("page_id", url.alias("url"), title.alias("title"), F.size(said).cast("long").alias("n_links"), reason.alias("reason"))
