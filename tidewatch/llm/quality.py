@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _text
-from ._spark import annotate
+from ._spark import annotate, tidy
 
 TRAIN_ROWS = 6000  # most labelled rows to learn from
 BUCKETS = 1 << 16
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
         model = train([r[4] for r in held], [r[3] for r in held])
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype(np.float64).tobytes()], pa.binary())})
 
-    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    got = sample.coalesce(1).mapInArrow(tidy(run), "model binary").collect()
     return np.frombuffer(bytes(got[0][0])) if got else train([], [])
 
 
