@@ -86,3 +86,24 @@ def test_runs_follow_the_log_whatever_the_batches(spark, tmp_path):
     got = runs.followed(runs.log(stream, stale, "1 hour"), str(tmp_path / "out")).collect()
     rows = sorted(((r["scope"], r["run"], r["at"].replace(tzinfo=UTC), r["status"], r["detail"]) for r in got), key=repr)
     assert rows == whole([*events, last], stale, last[2] - timedelta(hours=1))
+
+
+def test_states_follow_the_newest_row_whatever_the_batches(spark, tmp_path):
+    from tidewatch.streaming import states
+
+    random.seed(9)
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    rows = [(random.randint(0, 5), i, start + timedelta(seconds=i), random.choice("ab")) for i in range(120)]
+    given = [*rows[:40], rows[60], *rows[40:60], *rows[61:], rows[3], (None, 1, start, "a"), (1, 500, None, "a"), (7, None, start, None)]  # one before others of its key, one again
+    schema = "key int, id long, at timestamp, digest string"
+    for i in range(0, len(given), 41):
+        spark.createDataFrame(given[i : i + 41], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i:03}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = sorted((r["key"], r["id"], r["state"]) for r in runs.followed(states.changes(stream), str(tmp_path / "out")).collect())
+    newest, want = {}, []
+    for i in range(0, len(given), 41):
+        batch = sorted((r for r in given[i : i + 41] if r[0] is not None and r[2] is not None), key=lambda r: (r[2], r[1] or 0))
+        for key, number, at, digest in batch:
+            newest[key], (state,) = states.classed(newest.get(key), [(digest or "", at, number or 0)])
+            want.append((key, number or 0, state))
+    assert got == sorted(want) and {"NEW", "UPDATED", "UNCHANGED", "LATE"} == {s for *_, s in got}

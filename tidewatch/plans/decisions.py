@@ -15,7 +15,7 @@ from ..functions import lexicons as L
 from ..functions import text, urls, values
 from ..operators import evidence, notices, rules
 from ..sources import pages
-from ..streaming import changes, runs
+from ..streaming import changes, runs, states
 from .catalog import _CANON, AS_OF, FOLD, ORACLE, query, register
 
 
@@ -283,6 +283,14 @@ def q_stream_runs(spark: SparkSession, d: str) -> DataFrame:
     return done.select("scope", "run", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "status", "detail")
 
 
+def q_stream_states(spark: SparkSession, d: str) -> DataFrame:
+    """Change classes of an event stream against the newest state of each entity, kept by the stream itself."""
+    source = changes.events(spark, f"{d}/events.parque*", spark.read.parquet(f"{d}/events.parquet").schema)
+    rows = source.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("digest"))
+    return runs.followed(states.changes(rows), _shared(spark)).select("key", "id", "state")
+
+
+register("q_stream_states", q_stream_states, "SELECT user_id AS key, event_id AS id, CASE WHEN b IS NULL THEN 'NEW' WHEN b = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS state FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)")
 register("q_stream_tumbling", q_stream_tumbling, "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 register("q_stream_cdc", q_stream_cdc, "SELECT CASE WHEN b IS NULL THEN 'NEW' WHEN b = event_type THEN 'UNCHANGED' ELSE 'UPDATED' END AS state, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1")
 register("q_stream_runs", q_stream_runs, """WITH RECURSIVE e AS (SELECT user_id AS scope, event_id AS id, ts, event_type AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
