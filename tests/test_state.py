@@ -58,6 +58,13 @@ def test_first_wins_is_sequential(spark):
     assert identity.first_wins_any(df.limit(0), "id", ["x", "y"]).count() == 0
 
 
+def test_first_wins_along_a_long_chain(spark):
+    """Thousands of rows that hang on one another end in a few rounds."""
+    even = spark.createDataFrame([(i, f"k{i // 2}", f"m{(i + 1) // 2}") for i in range(2000)], "id long, a string, b string")  # neighbours share a or b in turn
+    kept = {r["id"]: r["kept"] for r in identity.first_wins_any(even, "id", ["a", "b"]).collect()}
+    assert kept == {i: i % 2 == 0 for i in range(2000)}
+
+
 def test_ledger_states(spark):
     at = lambda d: F.lit(f"2024-01-{d:02} 00:00:00").cast("timestamp")
     batch = lambda *rows: spark.createDataFrame(rows, "key string, digest string, seq long")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from .written import Written, components
 
 
 def long_keys(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
@@ -26,44 +31,57 @@ def match_existing(candidates: DataFrame, existing: DataFrame, row: str, keys: l
     return found.select(row, F.when(F.col("low") == F.col("high"), F.col("low")).alias("match"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("conflict"))
 
 
-def first_wins_any(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
+ROUNDS = 3
+
+
+def first_wins_any(df: DataFrame, row: str, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
     """``row`` and ``kept``: walking rows in order, one stays if no row that stayed before it shares a key.
 
-    A row's fate hangs on the earlier rows of its keys only, so rounds settle all rows without an open earlier one at
-    once: those stay, and every later row with one of their keys goes.  Each round is an aggregation and a join by
-    key; it ends when no row is open, after as many rounds as the longest chain of rows that hang on one another.
-    Lineage is cut by a checkpoint where the session has a folder for it.
+    A row's fate hangs on the earlier rows of its keys only.  Some rounds settle, for all keys at once, the rows that no
+    open earlier one stands before, and those that share a key with them: that ends keys that many rows share.  What
+    is left hangs on chains; its connected rows are walked in order, one task a component, holding the taken keys.
     """
-    spark = df.sparkSession
-    # rows that share their first key with an earlier one of the same keys are many; the key's smallest row decides
-    open_ = long_keys(df, row, keys).withColumn("key", F.concat_ws(":", "kind", "key")).select(row, "key").distinct()
-    settled = df.select(row).join(open_.select(row).distinct(), row, "left_anti").withColumn("kept", F.lit(True))
-    parts, number = [settled], 0
-    while not open_.isEmpty():
+    work = Written(df.sparkSession)
+    open_ = work.keep(long_keys(df, row, keys).withColumn("key", F.concat_ws(":", "kind", "key")).select(row, "key").distinct())
+    parts = [work.keep(df.select(row).join(open_.select(row).distinct(), row, "left_anti").withColumn("kept", F.lit(True)))]
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
         least = open_.groupBy("key").agg(F.min(row).alias("least"))
-        first = open_.join(least, "key").groupBy(row).agg(F.bool_and(F.col("least") == F.col(row)).alias("stays")).filter("stays").select(row)
+        first = work.keep(open_.join(least, "key").groupBy(row).agg(F.bool_and(F.col("least") == F.col(row)).alias("stays")).filter("stays").select(row))
         taken = open_.join(first, row, "left_semi").select("key").distinct()
         gone = open_.join(taken, "key", "left_semi").select(row).distinct().join(first, row, "left_anti")
-        now = first.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
-        now, number = cut(spark, now), number + 1
+        now = work.keep(first.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))))
         parts.append(now)
-        open_ = cut(spark, open_.join(now.select(row), row, "left_anti"))
+        left = work.keep(open_.join(now.select(row), row, "left_anti"))
+        work.drop(open_, first)
+        open_ = left
+    if not open_.isEmpty():
+        parts.append(work.keep(_walked(open_, row, work)))
     return reduce(DataFrame.unionByName, parts)
 
 
-def cut(spark, df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in the folder of ``spark.checkpoint.dir`` (a folder of this machine in local mode)."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            where = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+def _walked(open_: DataFrame, row: str, work: Written) -> DataFrame:
+    """The rest (row, key) in order within each component of rows that share keys."""
+    least = open_.groupBy("key").agg(F.min(row).alias("least"))
+    roots = components(open_.join(least, "key").select(F.col(row).alias("a"), F.col("least").alias("b")), work)
+    each = open_.groupBy(row).agg(F.collect_list("key").alias("keys"))  # a row's own keys: as many as there are kinds
+    rooted = each.join(roots.select(F.col("node").alias(row), "root"), row, "left").withColumn("root", F.coalesce("root", row))
+    schema = StructType([open_.schema[row], StructField("kept", BooleanType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken = None, set()
+        for b in batches:
+            stays = []
+            for root, own in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if root != at:
+                    at, taken = root, set()
+                stays.append(taken.isdisjoint(own))
+                if stays[-1]:
+                    taken.update(own)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(stays, pa.bool_())], names=[row, "kept"])
+
+    return rooted.select("root", row, "keys").repartition("root").sortWithinPartitions("root", row).mapInArrow(walk, schema)
 
 
 def mirrors(records: DataFrame, least_title: int = 25) -> DataFrame:

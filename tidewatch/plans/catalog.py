@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import keyed
-from ..operators.identity import cut
+from ..operators.written import Written
 
 AS_OF = "2024-01-31"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,7 @@ def q_review_queue_page(t):
     """First page of the review queue: copies dropped, unreviewed first, longest first, with the total."""
     docs = t("documents").select("doc_id", "source", "lang", "n_chars", F.unhex(F.md5(text.normalize_text(F.col("text")))).alias("key"))
     one = docs.groupBy("key").agg(F.min_by(F.struct("doc_id", "source", "lang", "n_chars"), "doc_id").alias("d")).select("d.*")
-    one = cut(one.sparkSession, one)  # narrow rows, read twice: for the page and for the total
+    one = Written(one.sparkSession).keep(one)  # narrow rows, read twice: for the page and for the total
     total = one.agg(F.count("*").alias("total"))
     page = one.join(t("labels").select("doc_id", F.col("quality").alias("review")), "doc_id", "left").orderBy(F.col("review").isNull().desc(), F.desc("n_chars"), "doc_id").limit(25)
     return page.join(F.broadcast(total)).select("doc_id", "source", "lang", "total", "review")
