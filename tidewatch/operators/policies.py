@@ -85,6 +85,27 @@ def sections(bulletins: DataFrame, drafts: bool = False) -> DataFrame:
     return kept.drop("text", "draft") if drafts else kept.filter("NOT draft").drop("text", "draft")
 
 
+# The Arabic formula that orders a law's publication, what stands beside it, and how far it reaches.
+PROMULGATED, LAW_LABEL, HERITAGE_SUBJECT = r"ينفذ\s+وينشر\s+بالجريدة\s+الرسمية", "القانون رقم", "بحماية التراث"
+PROMULGATION, BULLETIN_HEAD = 450, 12000
+
+
+def arabic_sections(bulletins: DataFrame, registry: DataFrame) -> DataFrame:
+    """Promulgations of registered laws in Arabic bulletins: key, url, section, reference, document_type, heading, body.
+
+    ``bulletins``: key, url, text; ``registry``: key, reference, number (of the bulletin), title, a few rows.  A bulletin
+    counts only where its registered number stands in its first pages, so another one under the same address gives
+    nothing; the formula, the law's number, its label and its subject must stand together.
+    """
+    known = bulletins.join(F.broadcast(registry.limit(10_000)), "key")
+    own = known.filter(F.regexp_like(F.left("text", F.lit(BULLETIN_HEAD)), F.concat(F.lit(r"(?<!\d)"), F.col("number"), F.lit(r"(?!\d)"))))
+    blocks = F.regexp_extract_all("text", F.lit(rf"(?sU)(?=({PROMULGATED}.{{0,{PROMULGATION}}}))"), F.lit(1))
+    said = own.select("key", "url", "reference", F.col("title").alias("heading"), F.posexplode(blocks).alias("section", "block")).withColumn("body", F.left("block", F.lit(PROMULGATION)))
+    numbers = F.transform(F.regexp_extract_all("body", F.lit(f"({NUMBER})"), F.lit(1)), reference)
+    good = F.array_contains(numbers, F.col("reference")) & F.contains("body", F.lit(LAW_LABEL)) & F.contains("body", F.lit(HERITAGE_SUBJECT))
+    return said.filter(good).select("key", "url", "section", "reference", F.lit("LAW").alias("document_type"), "heading", "body")
+
+
 def proofs(candidates: DataFrame, bulletins: DataFrame, as_of: Column) -> DataFrame:
     """``id``, ``status`` (PUBLISHED, IN_FORCE or null), ``effective``, ``url``: the first section of an official bulletin that is the candidate's instrument.
 
