@@ -64,6 +64,16 @@ def free_name(df: DataFrame, want: str) -> str:
     return want
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow carry at most ``BATCH_ROWS`` rows at once, where the session has Spark's own 10,000: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system: Python workers live on after it, beside the next one's."""
     pa.default_memory_pool().release_unused()
@@ -91,6 +101,7 @@ def annotate(docs: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], di
     arrays by field name.  Columns outside ``keep`` (default: all) are dropped.
     Returns the frame and the struct's name, which clashes with no column.
     """
+    small_batches(docs)
     kept = list(docs.columns) if keep is None else keep
     name, hidden = free_name(docs, "_found"), free_name(docs, "_text")
     wide = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(hidden))

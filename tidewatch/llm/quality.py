@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _text
-from ._spark import annotate, tidy
+from ._spark import annotate, small_batches, tidy
 
 TRAIN_ROWS = 6000  # most labelled rows to learn from
 BUCKETS = 1 << 16
@@ -132,6 +132,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Model from at most ``rows`` labelled documents outside the held-out third."""
+    small_batches(docs)
     marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = marks.withColumn("turn", F.xxhash64("doc_id", F.lit(_SEED))).orderBy("turn", "doc_id").limit(rows)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
