@@ -208,3 +208,34 @@ def funding_class(r: Column) -> Column:
 def deadline_class(deadline: Column, priority: Column, as_of: Column) -> Column:
     """Struct (deadline, fit) of a notice."""
     return F.struct(first([("unknown", deadline.isNull()), ("expired", deadline < as_of)], "active").alias("deadline"), F.when(priority == 1, "direct").otherwise("potential").alias("fit"))
+
+
+# What a row says that no model saw, by the kind of its record.
+REVIEW_SCORE, REVIEW_CONFIDENCE = 85, {"project": 0.9, "institution": 0.9, "policy": 0.92, "funding": 0.9}
+PROJECT_REASON, PROJECT_NOTE = "Concrete pre-procurement signal supported by the cited source.", "Potential architecture or territorial mission is forming."
+INSTITUTION_REASON = "Public professional institutional evidence."
+POLICY_CATEGORIES, FUNDING_CATEGORIES = {"LAW": "law", "DRAFT_LAW": "draft_law"}, {"GRANT": "grant", "TECHNICAL_ASSISTANCE": "technical_assistance"}
+
+
+def review_row(kind: str, r: Column, doubts: Column) -> Column:
+    """The row kept for a candidate that rules alone send to a person: (priority, score, category, summary, reason, confidence, review_reason, note).
+
+    ``r`` by kind: project: priority, summary; institution: verified, activity, summary; policy: status, document_type, summary, implications, evidence; funding:
+    letter, mode, summary, relevance.
+    """
+    if kind == "project":
+        parts = (r["priority"], F.lit("project_preparation"), r["summary"], F.lit(PROJECT_REASON), F.lit(PROJECT_NOTE))
+    elif kind == "institution":
+        new = r["activity"].isin("NEW_APPOINTMENT", "LEADERSHIP_CHANGE")
+        parts = (F.when(_yes(r["verified"]), 1).otherwise(2), F.when(new, "appointment").otherwise("institutional_activity"), r["summary"], F.lit(INSTITUTION_REASON), r["activity"])
+    elif kind == "policy":
+        parts = (F.when(r["status"].isin("ADOPTED", "IN_FORCE"), 1).otherwise(2), _of(POLICY_CATEGORIES, r["document_type"], "other"), r["summary"], r["implications"], r["evidence"])
+    elif kind == "funding":
+        parts = (F.when(r["letter"] == "A", 1).otherwise(2), _of(FUNDING_CATEGORIES, r["mode"], "investment"), r["summary"], r["relevance"], r["mode"])
+    else:
+        raise ValueError(f"no such kind: {kind}")
+    priority, category, summary, reason, note = parts
+    return F.struct(
+        priority.cast("int").alias("priority"), F.lit(REVIEW_SCORE).alias("score"), category.alias("category"), summary.alias("summary"), reason.alias("reason"), F.lit(REVIEW_CONFIDENCE[kind]).alias("confidence"),
+        F.nullif(F.array_join(doubts, "; "), F.lit("")).alias("review_reason"), note.alias("note"),
+    )

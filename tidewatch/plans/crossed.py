@@ -210,3 +210,19 @@ def q_question_checks(t):
     """Whether a model is asked about a line's outcome, and the reason kept."""
     q = gating.question(F.col("r"))
     return _lines(t, _OUTCOME).select("l_orderkey", q.alias("q")).groupBy("q.ask", "q.why").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'ADOPTED' WHEN 1 THEN 'IN_FORCE' WHEN 2 THEN 'DRAFT' END AS status, CASE o_custkey % 3 WHEN 0 THEN 'LAW' WHEN 1 THEN 'DRAFT_LAW' ELSE 'DECREE' END AS kind, left(o_orderpriority, 1) AS letter, CASE o_custkey % 3 WHEN 0 THEN 'GRANT' WHEN 1 THEN 'TECHNICAL_ASSISTANCE' ELSE 'DIRECT_ACCESS' END AS mode, o_orderkey % 4 AS n FROM orders)
+SELECT id, CASE WHEN status IN ('ADOPTED', 'IN_FORCE') THEN 1 ELSE 2 END AS policy_priority, CASE kind WHEN 'LAW' THEN 'law' WHEN 'DRAFT_LAW' THEN 'draft_law' ELSE 'other' END AS policy_category, CASE WHEN letter = '1' THEN 1 ELSE 2 END AS funding_priority, CASE mode WHEN 'GRANT' THEN 'grant' WHEN 'TECHNICAL_ASSISTANCE' THEN 'technical_assistance' ELSE 'investment' END AS funding_category,
+letter::INT AS project_priority, CASE WHEN letter IN ('1', '3') THEN 1 ELSE 2 END AS institution_priority, CASE WHEN mode = 'GRANT' THEN 'appointment' ELSE 'institutional_activity' END AS institution_category, CASE n WHEN 1 THEN 'a' WHEN 2 THEN 'a; b' WHEN 3 THEN 'b' END AS review_reason FROM r""")
+def q_review_rows(t):
+    """Rows of policies, programmes and projects that rules alone send to a person."""
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.left("o_orderpriority", F.lit(1))
+    text_ = F.lit("s")
+    policy = F.struct(F.when(k % 5 == 0, "ADOPTED").when(k % 5 == 1, "IN_FORCE").when(k % 5 == 2, "DRAFT").alias("status"), F.when(c % 3 == 0, "LAW").when(c % 3 == 1, "DRAFT_LAW").otherwise("DECREE").alias("document_type"), text_.alias("summary"), text_.alias("implications"), text_.alias("evidence"))
+    funding = F.struct(F.when(p == "1", "A").otherwise("B").alias("letter"), F.when(c % 3 == 0, "GRANT").when(c % 3 == 1, "TECHNICAL_ASSISTANCE").otherwise("DIRECT_ACCESS").alias("mode"), text_.alias("summary"), text_.alias("relevance"))
+    project = F.struct(p.cast("int").alias("priority"), text_.alias("summary"))
+    institution = F.struct(F.when(p != "5", p.isin("1", "3")).alias("verified"), F.when(c % 3 == 0, "NEW_APPOINTMENT").otherwise("PARTNERSHIP").alias("activity"), text_.alias("summary"))
+    doubts = F.array_compact(F.array(F.when((k % 4).isin(1, 2), "a"), F.when((k % 4).isin(2, 3), "b")))
+    a, b, d, e = (gating.review_row(n, r, doubts) for n, r in (("policy", policy), ("funding", funding), ("project", project), ("institution", institution)))
+    return t("orders").select(k.alias("id"), a["priority"].alias("policy_priority"), a["category"].alias("policy_category"), b["priority"].alias("funding_priority"), b["category"].alias("funding_category"), d["priority"].alias("project_priority"), e["priority"].alias("institution_priority"), e["category"].alias("institution_category"), d["review_reason"].alias("review_reason"))
