@@ -59,10 +59,10 @@ def projects(items: DataFrame, official: list[str], as_of: Column) -> DataFrame:
     source_quality, financing_secured, program_approved, officially_announced, uncertain, summary.
     """
     dated = items.withColumn("_day", _dated())
-    texts = details.project_blocks(dated.select("id", F.col("evidence").alias("text"), F.col("_day").alias("published")), as_of)
-    several = texts.groupBy("id").agg(F.count("*").alias("_n"))
-    met = dated.join(texts, "id").join(several, "id")
-    single = F.col("_n") == 1
+    lines = F.filter(F.transform(F.split(F.coalesce("evidence", F.lit("")), r"[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t-*•"))), lambda x: F.length(x) >= details.LEAST_BLOCK)
+    dated = dated.withColumn("_good", F.filter(lines, lambda x: rules.project_signal(x, F.col("_day"), as_of)["signal"].isNotNull()))
+    single = F.size("_good") < 2
+    met = dated.select("*", F.posexplode(F.when(single, F.array(F.coalesce("evidence", F.lit("")))).otherwise(F.col("_good"))).alias("block", "text"))
     title = F.when(single, F.col("title")).otherwise(F.left("text", F.lit(500)))
     said = F.when(single, F.coalesce("evidence", F.lit(""))).otherwise(F.col("text"))
     own = urls.domain_match(F.col("url"), official)
