@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewatch.plans import accounting, candidates, catalog, clocks, crossed, decisions, flows, gates, judgements, leadership, notices, records, resolving, saving, validation  # noqa: F401
+from tidewatch.plans import accounting, candidates, catalog, clocks, crossed, decisions, flows, gates, judgements, leadership, notices, records, resolving, saving, validation, views  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
