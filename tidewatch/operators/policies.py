@@ -12,7 +12,15 @@ from .conditions import bulletin_page
 from .notices import once
 from .rules import first, phrase
 
-NUMBER = r"\p{Nd}+(?:\s*[./\-٫]\s*\p{Nd}+)+"  # fixed value: how an instrument's number is written
+# How an instrument's number and heading are written, words of a law's stages, the clause that puts it in force.
+NUMBER = r"\p{Nd}+(?:\s*[./\-٫]\s*\p{Nd}+)+"
+LAW_TITLE = rf"(?i)(?:projet de )?loi\s+n[°ºo]?\s*({NUMBER})"
+NOT_ADOPTED, ADOPTED_BY_BOTH = "non adopte|pas adopte|pas encore adopte", "adopte definitivement|adopte par les deux chambres"
+ADOPTED_WORD, CHAMBER_WORD, COMMITTEE_WORD = "adopte", "chambre", "commission"
+SECTION_START = rf"(?im)(?=^\s*(?:projet de |avant-projet de )?(?:dahir|décret|arrêté|loi)\s+n[°ºo]?\s*{NUMBER}\b)"
+SECTION_HEAD = rf"(?i)^\s*(projet de |avant-projet de )?(dahir|décret|arrêté|loi)\s+n[°ºo]?\s*({NUMBER})\b"
+PROMULGATED_LAW = rf"(?i)promulgation de la loi\s+n[°ºo]?\s*({NUMBER})"
+IN_FORCE_CLAUSE = r"(?i)(?:la présente loi|le présent décret|le présent arrêté)\s+entre(?:ra)?\s+en vigueur\s+(?:à compter du|le)\s+([^.\n]{5,60})"
 
 
 def reference(c: Column) -> Column:
@@ -59,11 +67,11 @@ def classify(title: Column, evidence: Column) -> Column:
 
 def stage(title: Column, text: Column) -> Column:
     """Struct (reference, stage) of a law before parliament; null where the title names none. A vote of one chamber is no adoption."""
-    number = F.regexp_extract(title, rf"(?i)(?:projet de )?loi\s+n[°ºo]?\s*({NUMBER})", 1)
+    number = F.regexp_extract(title, LAW_TITLE, 1)
     t = fold_text(text)
     at = first([
-        ("PRESENTED", t.rlike("non adopte|pas adopte|pas encore adopte")), ("PARLIAMENT_ADOPTED", t.rlike("adopte definitivement|adopte par les deux chambres")),
-        ("CHAMBER_ADOPTED", F.contains(t, F.lit("adopte")) & F.contains(t, F.lit("chambre"))), ("COMMITTEE", F.contains(t, F.lit("commission"))),
+        ("PRESENTED", t.rlike(NOT_ADOPTED)), ("PARLIAMENT_ADOPTED", t.rlike(ADOPTED_BY_BOTH)),
+        ("CHAMBER_ADOPTED", F.contains(t, F.lit(ADOPTED_WORD)) & F.contains(t, F.lit(CHAMBER_WORD))), ("COMMITTEE", F.contains(t, F.lit(COMMITTEE_WORD))),
     ], "PRESENTED")
     return F.when((number != "") & (t != ""), F.struct(reference(number).alias("reference"), at.alias("stage")))
 
@@ -73,12 +81,11 @@ def sections(bulletins: DataFrame, drafts: bool = False) -> DataFrame:
 
     A heading stands on a line of its own.  A decree that promulgates a law is that law.
     """
-    head = rf"(?im)(?=^\s*(?:projet de |avant-projet de )?(?:dahir|décret|arrêté|loi)\s+n[°ºo]?\s*{NUMBER}\b)"
-    parts = bulletins.select("*", F.posexplode(F.split("text", head)).alias("section", "body"))
-    found = lambda group: F.regexp_extract("body", rf"(?i)^\s*(projet de |avant-projet de )?(dahir|décret|arrêté|loi)\s+n[°ºo]?\s*({NUMBER})\b", group)
+    parts = bulletins.select("*", F.posexplode(F.split("text", SECTION_START)).alias("section", "body"))
+    found = lambda group: F.regexp_extract("body", SECTION_HEAD, group)
     kind = F.lower(found(2))
     heading = F.trim(F.regexp_replace(F.substring("body", 1, 1400), r"\s+", " "))
-    law = F.regexp_extract(heading, rf"(?i)promulgation de la loi\s+n[°ºo]?\s*({NUMBER})", 1)
+    law = F.regexp_extract(heading, PROMULGATED_LAW, 1)
     own = F.when(kind == "dahir", law).otherwise(found(3))
     typed = F.when(kind.isin("dahir", "loi"), "LAW").when(kind == "décret", "DECREE").when(kind == "arrêté", "ORDER")
     kept = parts.withColumns({"document_type": typed, "reference": reference(own), "heading": heading, "draft": found(1) != ""}).filter("document_type IS NOT NULL AND reference <> ''")
@@ -112,7 +119,7 @@ def proofs(candidates: DataFrame, bulletins: DataFrame, as_of: Column) -> DataFr
     An equality join on number and type; of several sections the first by bulletin and place counts.
     """
     official = sections(bulletins.filter(bulletin_page(F.col("url")))).select("reference", "document_type", "position", "section", "url", "body")
-    clause = F.regexp_extract("body", r"(?i)(?:la présente loi|le présent décret|le présent arrêté)\s+entre(?:ra)?\s+en vigueur\s+(?:à compter du|le)\s+([^.\n]{5,60})", 1)
+    clause = F.regexp_extract("body", IN_FORCE_CLAUSE, 1)
     wanted = candidates.select("id", reference(F.col("reference_number")).alias("reference"), F.when(F.col("document_type") == "DRAFT_LAW", "LAW").otherwise(F.col("document_type")).alias("document_type"))
     met = wanted.filter("reference <> ''").join(official.withColumn("effective", french_date(clause)), ["reference", "document_type"])
     best = met.groupBy("id").agg(F.min_by(F.struct("effective", "url"), F.struct("position", "section")).alias("p"))
