@@ -16,7 +16,7 @@ from ..functions import text, urls, values
 from ..operators import evidence, notices, rules
 from ..sources import pages
 from ..streaming import changes, runs, states
-from .catalog import _CANON, AS_OF, FOLD, ORACLE, query, register
+from .catalog import _CANON, AS_OF, FOLD, ORACLE, QUERIES, query, register  # noqa: F401  (QUERIES: for tests)
 
 
 def _any(terms: list[str], whole: bool = True) -> str:
