@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from . import _text
 from ._spark import annotate, free_name
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 _NONE = np.int64(1) << 40
 ENCODED = StructType([StructField("ids", ArrayType(IntegerType()))])
 DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
