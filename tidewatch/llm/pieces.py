@@ -32,7 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from . import _text
 from ._spark import annotate, free_name
 
-SLICE = 1 << 19
+SLICE = 2 << 20
+ENCODE_SLICE = 1 << 19  # where whole rows of a pipeline pass beside their ids
 _NONE = np.int64(1) << 40
 ENCODED = StructType([StructField("ids", ArrayType(IntegerType()))])
 DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
@@ -238,7 +239,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
         return work
 
-    df, f = annotate(docs, kernel, ENCODED, text=text, limit=SLICE)
+    df, f = annotate(docs, kernel, ENCODED, text=text, limit=ENCODE_SLICE)
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f)["ids"].alias(free_name(docs, "ids")))
 
 
