@@ -110,10 +110,10 @@ def curated(pages: DataFrame, registry: DataFrame, keep: list[str] | None = None
     """Names beside an institution's own role, before or after it, on its registered pages.
 
     ``pages``: key, page (tokenized, see :mod:`..sources.markup`); ``registry``: key, institution, role_pattern, url,
-    source_type, a few rows (at most 10,000); ``keep`` names columns of the pages to hand on.  Pages without a heading, or with one that is no evidence, give none.
+    source_type, a few rows (Spark's own size check broadcasts them); ``keep`` names columns of the pages to hand on.  Pages without a heading, or with one that is no evidence, give none.
     """
     body = F.get(F.split(_squeezed(F.col("page.body")), PAGE_END, 2), F.lit(0))
-    headed = pages.filter(F.size("page.h1") > 0).join(F.broadcast(registry.limit(10_000)), "key").withColumn("text", F.trim(body))
+    headed = pages.filter(F.size("page.h1") > 0).join(registry, "key").withColumn("text", F.trim(body))
     told = headed.filter((F.col("text") != "") & headline_rejection(F.array_join("page.h1", " ")).isNull()).withColumn("evidence_date", french_date(F.left(F.col("text"), F.lit(400))))
     role = F.col("role_pattern")
     ahead = _spans(F.col("text"), F.concat(F.lit(rf"({NAME})\s*,\s*("), role, F.lit(")")), False, 45, 80)
@@ -128,7 +128,8 @@ def ministers(pages: DataFrame, html: str = "html") -> DataFrame:
     """Ministers of urbanism or culture on a list of the government: ``pages``' columns but the markup, person_name, role_title, institution, reference."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"(?U)\s+", " "))
     cut = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), MINISTER, f"{_START}$1{_MIDDLE}$2{_END}")
-    pieces = F.transform(F.slice(F.split(cut, _START), 2, 100_000), lambda p: F.split(F.substring_index(p, _END, 1), _MIDDLE))
+    rest = once(F.split(cut, _START), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    pieces = F.transform(rest, lambda p: F.split(F.substring_index(p, _END, 1), _MIDDLE))
     rows = pages.select(*[c for c in pages.columns if c != html], F.explode(F.transform(pieces, lambda g: F.struct(plain(g[0]).alias("name"), plain(g[1]).alias("role")))).alias("x"))
     good = F.col("x.name").rlike(r"^M(?:me)?\.") & F.startswith(F.col("x.role"), F.lit("Ministre")) & _has(fold_text(F.col("x.role")), MINISTRIES)
     person = F.regexp_replace("x.name", r"^M(?:me)?\.\s*", "")

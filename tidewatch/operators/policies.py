@@ -104,7 +104,7 @@ def arabic_sections(bulletins: DataFrame, registry: DataFrame) -> DataFrame:
     counts only where its registered number stands in its first pages, so another one under the same address gives
     nothing; the formula, the law's number, its label and its subject must stand together.
     """
-    known = bulletins.join(F.broadcast(registry.limit(10_000)), "key")
+    known = bulletins.join(registry, "key")
     own = known.filter(F.regexp_like(F.left("text", F.lit(BULLETIN_HEAD)), F.concat(F.lit(r"(?<!\d)"), F.col("number"), F.lit(r"(?!\d)"))))
     blocks = F.regexp_extract_all("text", F.lit(rf"(?sU)(?=({PROMULGATED}.{{0,{PROMULGATION}}}))"), F.lit(1))
     said = own.select("key", "url", "reference", F.col("title").alias("heading"), F.posexplode(blocks).alias("section", "block")).withColumn("body", F.left("block", F.lit(PROMULGATION)))
