@@ -302,3 +302,41 @@ def test_long_addresses_and_odd_events(spark):
     assert time.time() - began < 20
     assert got == {0: ["a.example", "example", "www.a.example/x/x/x"], 1: ["example"], 2: ["b.example/x/y", "example"], 3: [], 4: []}
     assert url_filters.evaluate(caps.limit(0), df).collect() == [] and all(r["entries_"] == [] for r in url_filters.evaluate(caps, df.limit(0)).collect())
+
+
+def rows_made(spark, since, what):
+    """Rows that operators matching ``what`` have made in executions after ``since``, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, made, last = store.executionsList(), 0, since
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        last = max(last, run)
+        if run > since:
+            told, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and re.search(what, node.desc()) and told.get(m.accumulatorId()).isDefined():
+                        made += int(told.get(m.accumulatorId()).get().replace(",", ""))
+    return made, last
+
+
+def test_long_lists_settle_in_few_rounds(spark, monkeypatch):
+    """Near copies that do not link: rounds double their pivots, and a node meets its root once a round, not once a list."""
+    from tidewatch.llm import jaccard
+
+    common = " ".join(f"c{i}" for i in range(40))
+    own = lambda d, k: " ".join(f"o{d}x{i}" for i in range(k))
+    texts = [(d, f"{common} {own(d, 10)}") for d in range(14)] + [(20, f"{common} {own(3, 9)} other"), (21, f"{common} {own(3, 8)} some other")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rounds, lists = [], []
+    components, settle = jaccard.components, jaccard.settle
+    monkeypatch.setattr(jaccard, "components", lambda *a: rounds.append(1) or components(*a))
+    monkeypatch.setattr(jaccard, "settle", lambda *a: lists.append(a[4].count()) or settle(*a))
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    since = rows_made(spark, -1, "$^")[1]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.cluster(docs, 2).collect()}
+    assert got == {d: 3 if d > 14 else d for d, _ in texts}
+    assert lists and lists[0] > 3 * len(texts)  # every node is in several long lists
+    assert len(rounds) <= 2 + 4  # pivots 1, 2, 4, 8
+    made = rows_made(spark, since, r"Join \[node#\d+L?\], \[node#\d+L?\], LeftOuter")[0]
+    assert len(texts) < made <= (len(rounds) + 2) * len(texts)
