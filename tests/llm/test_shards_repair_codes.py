@@ -340,3 +340,34 @@ def test_long_lists_settle_in_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 2 + 4  # pivots 1, 2, 4, 8
     made = rows_made(spark, since, r"Join \[node#\d+L?\], \[node#\d+L?\], LeftOuter")[0]
     assert len(texts) < made <= (len(rounds) + 2) * len(texts)
+
+
+# --- kernels of the language model ---
+
+
+def test_distinct_keys_are_those_of_unique_by_either_way():
+    from tidewatch.llm import lm
+
+    keys = np.random.default_rng(3).integers(0, 1 << 20, 5000).astype(np.uint64)
+    for some in (keys, keys % np.uint64(7), keys[:1], keys[:0]):
+        for bits in (20, 63):  # key and place in one number, and too wide for that
+            for got, want in zip(lm.distinct(some, bits), np.unique(some, return_inverse=True), strict=True):
+                assert np.array_equal(got, want)
+
+
+def test_gradient_is_the_plain_sum():
+    from tidewatch.llm import lm
+
+    rng = np.random.default_rng(4)
+    h, first = rng.integers(0, 50, 300).astype(np.uint64), np.array([0, 100, 100, 300])
+    m = lm.Model(1000, 50, np.arange(40, dtype=np.uint64), np.arange(1, 41), np.ones(lm.TAIL))
+    m.table = rng.normal(size=m.table.shape).astype(np.float32)
+    got, want = np.zeros((2, 2, lm.BUCKETS, lm.CLASSES), np.float32)
+    lm.gradient(m, h, first, *got)
+    f, klass = lm.features(h, first), m.look_up(h)[0]
+    for t in range(len(h)):
+        p = np.exp(sum(m.table[b].astype(float) for b in f[:, t]) + m.bias)
+        for b in f[:, t]:
+            want[0, b, klass[t]] += 1
+            want[1, b] += p / p.sum()
+    assert np.array_equal(got[0], want[0]) and np.allclose(got[1], want[1], atol=1e-4)

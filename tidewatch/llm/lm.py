@@ -152,29 +152,42 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_logits(m: Model, f: np.ndarray) -> np.ndarray:
-    """Natural-log class probabilities for a run of tokens."""
+def class_scores(m: Model, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a run of tokens the natural-log class scores, at most 0, their powers of e, and the sums of these over the classes."""
     z = m.table[f[0]]
     for i in range(1, FEATURES):
         z += m.table[f[i]]
     z += m.bias
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    top = z[:, 0].copy()
+    for c in range(1, CLASSES):
+        np.maximum(top, z[:, c], out=top)
+    z -= top[:, None]
+    e = np.exp(z)
+    total = e[:, 0].copy()
+    for c in range(1, CLASSES):
+        total += e[:, c]
+    return z, e, total
+
+
+def class_logits(m: Model, f: np.ndarray) -> np.ndarray:
+    """Natural-log class probabilities for a run of tokens."""
+    z, _, total = class_scores(m, f)
+    return z - np.log(total)[:, None]
 
 
 def gradient(m: Model, h: np.ndarray, first: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
     """Add a slice's observed and expected feature counts."""
     f, klass = features(h, first), m.look_up(h)[0]
-    flat = observed.reshape(-1)
+    observed += np.bincount((f * CLASSES + klass).ravel(), minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
     for a in range(0, len(h), _RUN):
         part = f[:, a : a + _RUN]
-        p = np.exp(class_logits(m, part))
-        for i in range(FEATURES):
-            b = part[i]
-            np.add.at(flat, b * CLASSES + klass[a : a + _RUN], np.float32(1))
+        _, p, total = class_scores(m, part)
+        p /= total[:, None]
+        for b in part.astype(np.uint16):  # BUCKETS fit in 16 bits, which numpy sorts by radix
             order = np.argsort(b, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], np.diff(b[order]) > 0]))
-            expected[b[order[head]]] += np.add.reduceat(p[order], head, axis=0)
+            b = b[order]
+            head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            expected[b[head]] += np.add.reduceat(p[order], head, axis=0)
 
 
 def step(docs: DataFrame, model: Model) -> np.ndarray:
@@ -238,6 +251,22 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of at most ``bits`` bits, and where each key is among them."""
+    low = max(1, len(keys) - 1).bit_length()
+    if bits + low > 64:
+        return np.unique(keys, return_inverse=True)
+    # a key and its place in one number: sorting values is several times faster than sorting places
+    both = np.sort((keys << np.uint64(low)) | np.arange(len(keys), dtype=np.uint64))
+    place = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    both >>= np.uint64(low)
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[place] = np.cumsum(new) - 1
+    return both[new], at
+
+
 class Keys:
     """The distinct keys of a slice's tokens, sorted - hashed pairs and class pairs, and tokens that are not frequent - and where each token finds its own."""
 
@@ -251,7 +280,7 @@ class Keys:
         group = _text.mix(back ^ ((self.klass.astype(np.uint64) + np.uint64(1)) * _SALTS[3]))
         self.bits = m.key_bits
         self.rare = np.flatnonzero(self.count < 0)
-        self.pairs, at = np.unique(np.concatenate([pair, group]) >> np.uint64(64 - self.bits), return_inverse=True)
+        self.pairs, at = distinct(np.concatenate([pair, group]) >> np.uint64(64 - self.bits), self.bits)
         self.pair, self.group = at[: len(h)], at[len(h) :]
         self.tokens, self.token = np.unique(h[self.rare], return_inverse=True)
 
@@ -355,8 +384,8 @@ def token_logs(m: Model, h: np.ndarray, first: np.ndarray, keys: Keys, pairs: np
     logs = np.log10((pairs[keys.pair] + PRIOR * share) / (pairs[keys.group] + PRIOR))
     f = features(h, first)
     for a in range(0, len(h), _RUN):
-        got = class_logits(m, f[:, a : a + _RUN])
-        logs[a : a + _RUN] += got[np.arange(len(got)), keys.klass[a : a + _RUN]] / np.log(10)
+        z, _, total = class_scores(m, f[:, a : a + _RUN])
+        logs[a : a + _RUN] += (z[np.arange(len(z)), keys.klass[a : a + _RUN]] - np.log(total)) / np.log(10)
     return count, logs
 
 
