@@ -236,6 +236,48 @@ def test_near_duplicates_are_the_same_whatever_the_sieve_holds(spark, monkeypatc
     assert rows() == thin
 
 
+def test_near_duplicates_write_narrow_tables_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: an executor forks for each file it writes, and counts twice while it does."""
+    from glob import glob
+
+    from tidewatch.llm import _spark, jaccard
+
+    texts = [(d, " ".join(f"w{d // 2}x{i}" for i in range(30)) + (" end" if d % 2 else "")) for d in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    files = []
+
+    def counted(df, *by):
+        out = _spark.table(df, *by)
+        if not {"shingles", "kind"} & set(df.columns):  # sets are wide; surveys and scans of lists are made by Python
+            files.append(len(glob(f"{_spark._PATHS[out].removeprefix('file://')}/part-*")))
+        return out
+
+    monkeypatch.setattr(jaccard, "table", counted)
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.cluster(docs).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {d: d - d % 2 for d, _ in texts}
+    assert 8 < max(files) <= _spark.FEW_FILES
+
+
+def test_few_links_are_joined_up_without_a_table_of_their_own(spark, monkeypatch):
+    from tidewatch.llm import _spark, jaccard
+
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (2, 3), (4, 4)], "a long, b long")
+    tables = []
+    monkeypatch.setattr(jaccard, "table", lambda df, *by: tables.append(df.columns) or _spark.table(df, *by))
+    for most, made in ((4, 1), (2, 2)):  # two distinct links in four rows
+        tables.clear()
+        assert {tuple(r) for r in jaccard.components(links, most).collect()} == {(1, 1), (2, 1), (3, 1)}
+        assert len(tables) == made
+
+
 # --- repeated words against a benchmark, and very long addresses ---
 
 
