@@ -29,14 +29,15 @@ def _spread(pages: DataFrame, items: Column, most: int) -> DataFrame:
     return _shown(pages.select("source", F.posexplode(items).alias("position", "x")), most).select("source", "position", "x.*")
 
 
-def _links() -> Column:
+def _links(longest: int | None = TITLE) -> Column:
     good = F.filter(F.transform("page.links", lambda x: F.struct(x["href"].alias("href"), _text(x["label"]).alias("label"))), lambda x: F.length(x["label"]) >= LEAST_LABEL)
-    return F.transform(good, lambda x: F.struct(F.substring(x["label"], 1, TITLE).alias("title"), resolved(F.col("base"), x["href"]).alias("url"), F.substring(x["label"], 1, EVIDENCE).alias("evidence")))
+    title = lambda c: c if longest is None else F.substring(c, 1, longest)
+    return F.transform(good, lambda x: F.struct(title(x["label"]).alias("title"), resolved(F.col("base"), x["href"]).alias("url"), F.substring(x["label"], 1, EVIDENCE).alias("evidence")))
 
 
-def linked(pages: DataFrame) -> DataFrame:
-    """Links whose label says enough: title, url, evidence."""
-    return _spread(tokenized(pages, "body"), _links(), MOST_ITEMS)
+def linked(pages: DataFrame, longest: int | None = TITLE) -> DataFrame:
+    """Links whose label says enough: title (of ``longest`` letters at most, None: whole), url, evidence."""
+    return _spread(tokenized(pages, "body"), _links(longest), MOST_ITEMS)
 
 
 def tabled(pages: DataFrame) -> DataFrame:
