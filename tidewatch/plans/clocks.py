@@ -51,6 +51,6 @@ def q_arabic_sections(t):
     k = F.col("o_orderkey")
     formula = F.concat(F.lit("ينفذ وينشر  بالجريدة الرسمية القانون رقم "), F.when(k % 3 == 0, "٤٤.٢٢").otherwise("٣٣ - ٢٢"), F.lit(" المتعلق بحماية التراث. "))
     text = F.concat(F.lit("عدد "), F.when(k % 5 == 0, "17415").otherwise("7415"), F.lit(" نص "), formula, F.repeat(F.lit("كلام "), F.lit(200)), F.when(F.col("o_custkey") % 2 == 0, formula).otherwise(""))
-    registry = t("orders").sparkSession.createDataFrame([("a", "33.22", "7415", "Loi n° 33.22")], "key string, reference string, number string, title string")
+    registry = t("orders").sparkSession.sql("SELECT * FROM VALUES ('a', '33.22', '7415', 'Loi n° 33.22') AS r(key, reference, number, title)")  # of a known size: it is what travels, not the texts
     found = policies.arabic_sections(t("orders").select(F.lit("a").alias("key"), k.cast("string").alias("url"), text.alias("text")), registry)
     return found.select(F.col("url").cast("long").alias("id"), "section", "reference")
