@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` of narrow rows dealt out to all cores, four parts each at least: a small file is one task, however much each row costs later."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 class Written:
     """Frames of one piece of work; :meth:`keep` writes one, :meth:`drop` deletes what is spent."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import candidates
+from ..operators.written import spread
 from .catalog import query
 
 _AS_OF = "1995-06-17"
@@ -75,7 +76,8 @@ def q_funding_candidates(t):
         F.concat(F.lit("P"), "o_orderkey").alias("id"), F.lit("Morocco urban heritage").alias("project_name"), F.when(p == "1", "Active").otherwise("Pipeline").alias("projectstatusdisplay"), F.format_number("o_totalprice", 2).alias("totalamt"),
         F.concat(F.lit("Borrower "), "o_custkey").alias("borrower"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("closingdate"), F.struct(F.lit("Urban").alias("Name")).alias("sector1"), F.array(F.struct(F.lit("heritage").alias("name"))).alias("mjtheme_namecode"),
     ))
+    dealt = lambda n: spread(t(n))
     raw = t("orders").select(F.col("o_orderkey").alias("id"), F.when(p.isin("1", "2"), record).alias("raw"))
-    out = candidates.programmes(_items(t, title, said).join(raw, "id"), _OFFICIAL, {"gov.example": "Gov Fund"})
+    out = candidates.programmes(_items(dealt, title, said).join(raw, "id"), _OFFICIAL, {"gov.example": "Gov Fund"})
     active = F.when(F.col("project").isNotNull() & (F.col("letter") == "B") & (F.col("status") == "active"), "B")
     return out.select("id", "rejected", "funder", "amount", "currency", "beneficiary", active.alias("active"), F.col("closing").cast("string").alias("closing"))
