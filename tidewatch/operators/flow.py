@@ -59,12 +59,14 @@ def processed(hits: DataFrame, pages: DataFrame, known: DataFrame, as_of: Column
         ("normalize", ~named), ("duplicate", F.col("sig").isNotNull() & ~_yes(F.col("_first"))), ("known", _yes(F.col("_known"))),
     ])
     a = met.withColumn("_role", role).withColumn("_early", early)
-    a = a.withColumn("_look", F.when(F.col("_early").isNull(), procurement.plausible(F.col("title"), scope)))
+    # the signs of the title as it was found serve the first look and the relevance
+    a = a.withColumn("_signs", F.when(F.col("_early").isNull(), procurement.noted(F.col("title"), scope, F.lit(""))))
+    a = a.withColumn("_look", F.when(F.col("_early").isNull(), procurement.first_look(F.col("_signs"))))
     a = a.withColumn("_early", F.coalesce("_early", F.when(F.col("_look.decision") == "reject", "prefilter")))
     told = fold_text(F.col("title"))
     meaningful = (told != "") & (told != fold_text(F.col("reference"))) & ~told.isin(UNNAMED)
-    relevance = lambda title: procurement.relevance(title, scope, F.lit(""), F.col("amount"), F.col("amount_verified"), large)
-    a = a.withColumn("_business", F.when(F.col("_early").isNull(), relevance(F.col("title"))))
+    figures = (F.lit(""), F.col("amount"), F.col("amount_verified"), large)
+    a = a.withColumn("_business", F.when(F.col("_early").isNull(), procurement.judged(F.col("_signs"), *figures)))
     waits = gating.read_before_rejecting(F.col("_business.reason"), F.col("_role"), F.col("url"), F.array_contains("_business.signals", "ARCHITECTURAL_SCOPE"), F.col("_business.role_fit"))
     a = a.withColumn("_early", F.coalesce("_early", F.when(meaningful & (F.col("_business.decision") == "reject") & ~waits, "relevance")))
 
@@ -92,7 +94,8 @@ def processed(hits: DataFrame, pages: DataFrame, known: DataFrame, as_of: Column
 
     verified, alive = F.col("resolution") == "VERIFIED", F.col("resolution").isin("VERIFIED", "CREDIBLE")
     last_title = F.when(verified, F.col("_title")).otherwise(F.col("title"))
-    a = a.withColumn("_business", F.when(alive, relevance(last_title)).otherwise(F.col("_business")))
+    other = alive & ~last_title.eqNullSafe(F.col("title"))  # a title that stays has been judged
+    a = a.withColumn("_business", F.when(other, procurement.relevance(last_title, scope, *figures)).otherwise(F.col("_business")))
     refused = (F.col("_business.decision") == "reject") | procurement.list_title(last_title)
     incomplete = verified & (~_yes(F.col("at_home")) | (F.coalesce("_institution", F.lit("")) == "") | F.col("_deadline").isNull())
     stage = F.coalesce("_early", first([

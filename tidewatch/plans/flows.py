@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flow
+from ..operators.written import spread
 from ..sources import markup
 from .catalog import query
 
@@ -21,7 +22,7 @@ TITLES = {
 
 def _orders(t) -> DataFrame:
     title = F.element_at(F.create_map(*[F.lit(x) for pair in TITLES.items() for x in pair]), F.col("o_orderpriority"))
-    return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("day"), F.concat(title, "o_orderkey").alias("title"))
+    return spread(t("orders")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("day"), F.concat(title, "o_orderkey").alias("title"))
 
 
 def _hits(t) -> DataFrame:
